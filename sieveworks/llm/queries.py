@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mpegts, order_minhash, packing
+from . import mpegts, order_minhash, packing, url_filter, warc_index
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,35 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.digests(mpegts.read(mpegts.store(read_table(spark, sf_dir, "documents"))))
+
+
+@query
+def op2_host_word_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_external_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_index.archive_and_index(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey")
+
+
+ORACLES["op8_external_index_merge"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS payload FROM pages
+), d AS (
+  SELECT page_id, url, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p
+), k AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id,
+         regexp_extract(url, '^.*?://([^#]*)', 1) AS rest
+  FROM d
+), h AS (
+  SELECT *, lower(regexp_extract(rest, '^[^/?]*')) AS host, regexp_replace(rest, '^[^/?]*', '') AS tail FROM k
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to,
+       CASE WHEN contains(url, '://') THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' ||
+            CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END ELSE url END AS urlkey
+FROM h
+"""
