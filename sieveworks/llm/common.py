@@ -123,7 +123,7 @@ def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     while len(live):
         left = size[live] - 8 * k
         piece = np.ascontiguousarray(at64[s[live] + 8 * k]).view(np.uint64).ravel() & keep[np.minimum(left, 8) - 1]
-        out[live] = mix(out[live] ^ mix(piece + np.uint64(k + 1) * _ODD))
+        out[live] = mix(out[live] ^ mix(piece + np.uint64((k + 1) * int(_ODD) & 0xFFFFFFFFFFFFFFFF)))
         live, k = live[left > 8], k + 1
     return out
 

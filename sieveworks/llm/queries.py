@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mpegts, order_minhash, packing, url_filter, warc_index
+from . import mpegts, order_minhash, packing, superkmer_dedup, url_filter, warc_index
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,30 @@ SELECT page_id, payload_bytes, payload_digest,
             CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END ELSE url END AS urlkey
 FROM h
 """
+
+
+@query
+def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer_dedup.kept_words(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_superkmer_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20
+), t AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS words FROM g
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS place FROM t
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r WHERE place > 1
+), a AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM w
+), k AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.j) AS kept, count(*) AS n_kept
+  FROM a ANTI JOIN c ON a.doc_id = c.doc_id AND a.j = c.j GROUP BY a.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
