@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mpegts, order_minhash, packing, superkmer_dedup, url_filter, warc_index
+from . import bagminhash, mpegts, order_minhash, packing, superkmer_dedup, url_filter, warc_index
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ WITH w AS (
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)
 """
+
+
+@query
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
