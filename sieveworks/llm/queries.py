@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, mpegts, order_minhash, packing, superkmer_dedup, url_filter, warc_index
+from . import bagminhash, line_crf, mpegts, order_minhash, packing, superkmer_dedup, url_filter, warc_index
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ FROM w LEFT JOIN k USING (doc_id)
 @query
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@query
+def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return line_crf.score(docs, line_crf.train(docs, read_table(spark, sf_dir, "labels")))
