@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, line_crf, mpegts, order_minhash, packing, superkmer_dedup, url_filter, warc_index
+from . import bagminhash, line_crf, mpegts, order_minhash, packing, pii_surrogates, superkmer_dedup, url_filter, warc_index
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return line_crf.score(docs, line_crf.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.report(read_table(spark, sf_dir, "documents"))
