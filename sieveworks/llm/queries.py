@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, line_crf, mpegts, order_minhash, packing, pii_surrogates, superkmer_dedup, url_filter, warc_index
+from . import bagminhash, byte_bpe, line_crf, mpegts, order_minhash, packing, pii_surrogates, superkmer_dedup, url_filter, warc_index
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_surrogates.report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.digests(byte_bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
