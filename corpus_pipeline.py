@@ -9,14 +9,35 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveworks.llm import common, packing
+from sieveworks.llm import bagminhash, common, line_crf, packing, pii_surrogates, superkmer_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier, trained on the labels, doesn't reject."""
+    return line_crf.keep_good(docs, common.read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return bagminhash.deduplicate(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur earlier."""
+    return superkmer_dedup.deduplicate(docs)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data and secrets."""
+    return pii_surrogates.replace(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality classifier", quality), ("near-dedup", near_duplicates), ("substring dedup", passages), ("pii", private_data), ("packing", pack)]
 #: Learned models, vocabulary files and keyed surrogates have no SQL form.
 ORACLE_SQL = None
 
