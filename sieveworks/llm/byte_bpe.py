@@ -1,13 +1,13 @@
 """Byte-level BPE by Spark's higher-order functions alone: encoding of distinct words, and decoding.
 
-Texts are split by the vocabulary's pattern. A word that is a token is that token; any other one starts as its bytes,
-and the pair of neighbouring pieces with the least rank (the leftmost one on ties) is merged until no pair has a rank.
-The fold keeps the ranks of all neighbouring pairs in an array, so that a merge looks up two ranks only. Ranks lie in
-literal arrays, dealt out by crc32 of the token: looking one up reads one short bucket.
+Texts are split by the vocabulary's pattern. A word that is a token is that token; any other one starts as the ids of
+its bytes, and the pair of neighbouring pieces that makes the token of least rank (the leftmost one on ties) is merged
+until no pair makes a token. The fold keeps the ranks of all neighbouring pairs in an array, so that a merge looks up
+two ranks only. The rank map is literal: which pairs of tokens make which token, dealt into short buckets.
 
-The most frequent distinct words that are no tokens are encoded once, and every document looks them up; rarer ones are
-encoded where they occur. The table of words is bounded (`TABLE_WORDS` words of at most `TABLE_WORD_BYTES` bytes),
-however large the vocabulary of the input grows.
+Frequent distinct words are encoded once, into a second literal map, and every document looks them up; other words are
+encoded where they occur. That map is a bounded cache (`TABLE_WORDS` words of at most `TABLE_WORD_BYTES` bytes, the most
+frequent ones of `TABLE_SHARE` of the documents): which words it holds changes no result.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes. Rows that repeat get equal results, a null
 doc_id stays null, no rows give no rows, and other columns are left out. Words of any length are encoded whole.
@@ -18,15 +18,17 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 1 << 16
-TABLE_WORDS, TABLE_WORD_BYTES, TABLE_BUCKETS = 100_000, 64, 1 << 16
-_NONE = 2**31 - 1
+#: Buckets of the literal maps (powers of two); they hold a few keys each.
+PAIR_BUCKETS, TABLE_BUCKETS = 1 << 15, 1 << 16
+TABLE_WORDS, TABLE_WORD_BYTES, TABLE_SHARE = 150_000, 64, 1 / 8
+_NONE, _EDGE, _REST = 2**31 - 1, 0xFFFF, 2**30
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,48 +42,78 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _literal(value: list, kind: str) -> Column:
+    """A literal made by constant folding, which is much faster than one made of literals."""
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+
+
+def _looked_up(keys: Column, values: Column, bucket: Column, key: Column) -> Column:
+    """The key's value in its bucket; null if it isn't there."""
+    return F.get(F.get(values, bucket), F.array_position(F.get(keys, bucket), key).cast("int") - 1)
+
+
 class Vocabulary:
-    """Literals for one rank file."""
+    """Literal maps for one rank file of at most 65,535 tokens with all single bytes among them; ids are ranks."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        keys: list[list[str]] = [[] for _ in range(BUCKETS)]
-        values: list[list[int]] = [[] for _ in range(BUCKETS)]
+        if len(ranks) >= _EDGE or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("a rank file needs all single bytes and fewer than 65,535 tokens")
+        self.ranks = ranks
+        keys: list[list[int]] = [[] for _ in range(PAIR_BUCKETS)]
+        values: list[list[int]] = [[] for _ in range(PAIR_BUCKETS)]
         for token, rank in ranks.items():
-            b = zlib.crc32(token) % BUCKETS
-            keys[b].append(base64.b64encode(token).decode())
-            values[b].append(rank)
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    at = (a * 31 + b) & (PAIR_BUCKETS - 1)
+                    packed = (a << 16 | b) & 0xFFFFFFFF
+                    keys[at].append(packed - (1 << 32) if packed >= 1 << 31 else packed)
+                    values[at].append(rank)
+        sums = [zlib.crc32(bytes([b])) for b in range(256)]
+        self.modulus = next(m for m in range(256, 1 << 17) if len({x % m for x in sums}) == 256)
+        own = [0] * self.modulus
+        for b, x in enumerate(sums):
+            own[x % self.modulus] = ranks[bytes([b])]
+        #: Bound once by `let`, since each use of a literal of its own would be a copy.
+        self.maps = F.struct(_literal(keys, "array<array<int>>").alias("keys"), _literal(values, "array<array<int>>").alias("values"), _literal(own, "array<int>").alias("bytes"))
         by_rank = {r: t for t, r in ranks.items()}
-        self.keys = F.from_json(F.lit(json.dumps(keys, separators=(",", ":"))), "array<array<binary>>")
-        self.values = F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<array<int>>")
-        hexes = [by_rank.get(i, b"").hex() for i in range(max(by_rank, default=0) + 1)]
-        self.pieces = F.split(F.lit(" ".join(hexes)), " ")
-
-    def rank(self, piece: Column) -> Column:
-        """The piece's rank; a number above all ranks if it is no token."""
-        at = (F.crc32(piece) % BUCKETS).cast("int")
-        return F.coalesce(F.get(F.get(self.values, at), (F.array_position(F.get(self.keys, at), piece) - 1).cast("int")), F.lit(_NONE))
-
-    def merged(self, word: Column) -> Column:
-        """The ids of a word (binary) that is no token itself."""
-        size = F.octet_length(word)
-        pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-        ranks = F.when(size > 1, F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: self.rank(F.substring(word, i, F.lit(2))))).otherwise(F.array().cast("array<int>"))
-        start = F.struct(pieces.alias("p"), ranks.alias("r"))
+        self.pieces = F.split(F.lit(" ".join(by_rank.get(i, b"").hex() for i in range(max(by_rank) + 1))), " ")
+
+    def pair(self, maps: Column, a: Column, b: Column) -> Column:
+        """The rank of the token that two tokens make; a number above all ranks if they make none."""
+        bucket = (a * 31 + b).bitwiseAND(PAIR_BUCKETS - 1)
+        return F.coalesce(_looked_up(maps["keys"], maps["values"], bucket, F.shiftleft(a, 16).bitwiseOR(b)), F.lit(_NONE))
+
+    def merged(self, maps: Column, word: Column) -> Column:
+        """The ids of a word (binary, not empty), by the bound maps. Both ends are held by an edge, which makes no token with anything."""
+        one, edge = F.lit(1), F.lit(_EDGE)
 
         def step(state: Column, _: Column) -> Column:
-            p, r = state["p"], state["r"]
-            at = F.array_position(r, F.array_min(r)).cast("int")  # pieces at and at + 1 are merged
-            piece = F.concat(F.get(p, at - 1), F.get(p, at))
-            left = F.when(at > 1, F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.array(self.rank(F.concat(F.get(p, at - 2), piece))))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at < F.size(r), F.concat(F.array(self.rank(F.concat(piece, F.get(p, at + 1)))), F.slice(r, at + 2, F.size(r)))).otherwise(F.array().cast("array<int>"))
-            rest = F.concat(F.slice(p, F.lit(1), at - 1), F.array(piece), F.slice(p, at + 2, F.size(p)))
-            return F.when((F.size(r) > 0) & (F.coalesce(F.array_min(r), F.lit(_NONE)) < _NONE), F.struct(rest.alias("p"), F.concat(left, right).alias("r"))).otherwise(state)
+            """One merge of the neighbours with the least rank; nothing changes once no neighbours make a token."""
+            x, r = state["x"], state["r"]
+
+            def merge(rank: Column, at: Column) -> Column:  # x[at] and x[at + 1], counted from 1, become the token of this rank
+                ids = F.concat(F.slice(x, one, at - 1), F.array(rank), F.slice(x, at + 2, F.lit(_REST)))
+                near = F.array(self.pair(maps, F.get(x, at - 2), rank), self.pair(maps, rank, F.get(x, at + 1)))
+                return F.struct(ids.alias("x"), F.concat(F.slice(r, one, at - 2), near, F.slice(r, at + 2, F.lit(_REST))).alias("r"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step, lambda s: F.transform(s["p"], self.rank))
+            return let(F.array_min(r), lambda m: F.when(m < _NONE, let(F.array_position(r, m).cast("int"), lambda at: merge(m, at))).otherwise(state))
+
+        def whole(w: Column, size: Column) -> Column:
+            own = F.transform(F.sequence(one, size), lambda i: F.get(maps["bytes"], (F.crc32(F.substring(w, i, one)) % self.modulus).cast("int")))
+            start = let(F.concat(F.array(edge), own, F.array(edge)), lambda x: F.struct(x.alias("x"), F.transform(F.sequence(F.lit(0), size), lambda i: self.pair(maps, F.get(x, i), F.get(x, i + 1))).alias("r")))
+            return F.aggregate(F.sequence(one, size), start, step, lambda s: F.slice(s["x"], F.lit(2), F.size(s["x"]) - 2))
+
+        return let(word, lambda w: whole(w, F.octet_length(w)))
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of ids: their pieces end to end."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        return let(self.pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -89,36 +121,47 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), 0)
 
 
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(TABLE_BUCKETS - 1)
+
+
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, words: int = TABLE_WORDS) -> DataFrame:
-    """The words that are no tokens and occur in most documents, at most `words` of them, with their ids."""
-    found = common.documents(docs).select(F.explode(F.array_distinct(words_of(F.col("text"), pattern))).alias("word"))
-    counted = found.filter(F.octet_length("word") <= TABLE_WORD_BYTES).groupBy("word").agg(F.count("*").alias("n"))
-    raw = F.encode("word", "UTF-8")
-    kept = counted.filter((F.col("n") > 1) & (vocabulary.rank(raw) == _NONE)).orderBy(F.desc("n"), "word").limit(words)
-    return kept.select(raw.alias("word"), vocabulary.merged(raw).alias("ids"))
+    """Words of the sampled documents that occur in most of them, at most `words`, with ids and bucket."""
+    chosen = common.documents(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(TABLE_SHARE * (1 << 20)))
+    found = chosen.select(F.explode(F.array_distinct(words_of(F.col("text"), pattern))).alias("word"))
+    kept = found.filter(F.octet_length("word") <= TABLE_WORD_BYTES).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(words)
+    raw = F.col("word").cast("binary")
+    return kept.repartition(common.partitions(docs), "word").select("word", let(vocabulary.maps, lambda m: vocabulary.merged(m, raw)).alias("ids"), _bucket(F.col("word")).alias("bucket"))
+
+
+def _whole_tokens(spark: SparkSession, ranks: dict[bytes, int]) -> list:
+    """The tokens that are text, with ids and bucket."""
+    rows = []
+    for token, rank in ranks.items():
+        try:
+            rows.append((token.decode("utf-8"), [rank]))
+        except UnicodeDecodeError:  # a part of a character is never a whole word
+            continue
+    return spark.createDataFrame(rows, "word string, ids array<int>").withColumn("bucket", _bucket(F.col("word"))).collect()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id and ids of every document."""
     vocabulary = Vocabulary(ranks)
-    table = common.cut(frequent_words(docs, vocabulary, pattern)).collect()  # bounded by TABLE_WORDS
+    known = {r["word"]: r for r in frequent_words(docs, vocabulary, pattern).collect()}  # bounded by TABLE_WORDS
+    known |= {r["word"]: r for r in _whole_tokens(docs.sparkSession, ranks)}
     keys: list[list[str]] = [[] for _ in range(TABLE_BUCKETS)]
-    ids: list[list[list[int]]] = [[] for _ in range(TABLE_BUCKETS)]
-    for r in table:
-        b = zlib.crc32(r["word"]) % TABLE_BUCKETS
-        keys[b].append(base64.b64encode(r["word"]).decode())
-        ids[b].append(r["ids"])
-    own_keys = F.from_json(F.lit(json.dumps(keys, separators=(",", ":"))), "array<array<binary>>")
-    own_ids = F.from_json(F.lit(json.dumps(ids, separators=(",", ":"))), "array<array<array<int>>>")
-
-    def of(word: Column) -> Column:
-        raw = F.encode(word, "UTF-8")
-        rank = vocabulary.rank(raw)
-        at = (F.crc32(raw) % TABLE_BUCKETS).cast("int")
-        known = F.get(F.get(own_ids, at), (F.array_position(F.get(own_keys, at), raw) - 1).cast("int"))
-        return F.when(rank < _NONE, F.array(rank)).otherwise(F.coalesce(known, vocabulary.merged(raw)))
-
-    return common.documents(docs).select("doc_id", F.flatten(F.transform(words_of(F.col("text"), pattern), of)).alias("ids"))
+    values: list[list[list[int]]] = [[] for _ in range(TABLE_BUCKETS)]
+    for word, r in known.items():
+        keys[r["bucket"]].append(word)
+        values[r["bucket"]].append(r["ids"])
+    table = F.struct(_literal(keys, "array<array<string>>").alias("keys"), _literal(values, "array<array<array<int>>>").alias("values"))
+
+    def ids(text: Column, maps: Column, table: Column) -> Column:
+        one = lambda w: F.coalesce(_looked_up(table["keys"], table["values"], _bucket(w), w), vocabulary.merged(maps, w.cast("binary")))
+        return F.flatten(F.transform(words_of(text, pattern), one))
+
+    return common.documents(docs).select("doc_id", let(table, lambda t: let(vocabulary.maps, lambda m: ids(F.col("text"), m, t))).alias("ids"))
 
 
 def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
