@@ -1,10 +1,726 @@
-"""Named queries over the driver's tables, each with the SQL that checks it."""
+"""Named queries over the driver's tables, each with the SQL that checks it.
+
+The queries derive their inputs with plans.bindings; the SQL derives the same inputs on its own, in common table
+expressions, so that neither side shares code with the other. Queries without SQL are matched or cued by algorithms
+that SQL can't express plainly; tests hold those against brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import schema
+from ..functions import negation as N
+from ..functions import text as X
+from ..operators import alignment, curves, diagnosis, extraction, ledger, scan, splits, stages, vocabulary
+from ..sources import readers
+from . import bindings as B
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+_NORM = r"trim(regexp_replace(regexp_replace(lower(regexp_replace({0}, '\s*\([^()]*\)\s*$', '')), '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_BAG = r"list_sort(list_filter(string_split_regex(lower({0}), '\s+'), lambda v: v <> ''))"
+_WORDS = "list_distinct(list_filter(string_split({0}, ' '), lambda v: v <> ''))"
+norm, bag, norm_words = _NORM.format, _BAG.format, _WORDS.format
+_BASE = f"""
+WITH RECURSIVE n AS (SELECT count(*) AS np FROM part),
+b AS (
+  SELECT d.doc_id, d.doc_id % 20 AS k, substring(d.text, 1, 60) AS pre, p.p_name AS term, p.p_partkey AS pk
+  FROM documents d CROSS JOIN n JOIN part p ON p.p_partkey = (d.doc_id * 7) % n.np
+), c AS (
+  SELECT *, CASE k WHEN 8 THEN '. A bit ' WHEN 10 THEN '. So far no ' WHEN 11 THEN '. There is no doubt that ' WHEN 12 THEN '. No rash, but ' WHEN 13 THEN '. Denied rash but ' ELSE '. Had ' END AS cue FROM b
+), r AS (
+  SELECT *, pre || cue || term || ' today.' AS src, length(pre) + length(cue) AS s0, length(term) AS n FROM c
+), rec AS (
+  SELECT doc_id AS n_doc, doc_id::VARCHAR AS doc_id, k, pk, term, src, n,
+    CASE k WHEN 0 THEN s0 + 2 WHEN 1 THEN 90000 WHEN 2 THEN -1 WHEN 8 THEN s0 - 4 ELSE s0 END AS s,
+    CASE k WHEN 0 THEN s0 + 2 + n WHEN 1 THEN 90010 ELSE s0 + n END AS e,
+    CASE k WHEN 3 THEN '  ' WHEN 8 THEN 'bit ' || term WHEN 9 THEN split_part(term, ' ', 2) || ' ' || split_part(term, ' ', 1) ELSE term END AS text,
+    CASE k WHEN 4 THEN '999999999' WHEN 5 THEN 'CONCEPT_LESS' WHEN 6 THEN NULL ELSE (1000000 + pk)::VARCHAR END AS sct,
+    CASE WHEN doc_id % 6 = 0 THEN 'drug' ELSE 'reaction' END AS entity_type, ((doc_id * 37) % 101) / 100.0::DOUBLE AS confidence,
+    CASE WHEN doc_id % 4 <> 3 THEN (10000000 + doc_id % 30)::VARCHAR END AS meddra
+  FROM r
+), edge AS (
+  SELECT parent, child, active FROM (
+    SELECT p_partkey // 2 AS parent, p_partkey AS child, p_size % 5 <> 0 AS active FROM part
+    UNION ALL SELECT p_partkey // 3, p_partkey, p_size % 5 <> 0 FROM part WHERE p_partkey % 4 = 1
+  ) WHERE child > 0 AND parent < child
+), fnow AS (
+  SELECT 2::BIGINT AS id UNION SELECT child FROM fnow JOIN edge ON parent = id WHERE active
+), fever AS (
+  SELECT 2::BIGINT AS id UNION SELECT child FROM fever JOIN edge ON parent = id
+), con AS (
+  SELECT (1000000 + p_partkey)::VARCHAR AS id, p_partkey AS pk, p_size % 5 <> 0 AS active, p_partkey IN (SELECT id FROM fnow) AS is_now, p_partkey IN (SELECT id FROM fever) AS is_ever,
+    p_partkey % 3 <> 0 AS international, p_name, p_brand, p_type
+  FROM part
+), des AS (
+  SELECT id AS concept_id, term, {norm('term')} AS norm, fsn, pk * 3 + i AS rowid FROM (
+    SELECT id, pk, p_name || ' (' || lower(p_type) || ')' AS term, true AS fsn, 0 AS i FROM con
+    UNION ALL SELECT id, pk, p_name, false, 1 FROM con UNION ALL SELECT id, pk, p_brand, false, 2 FROM con
+  )
+), tm AS (
+  SELECT concept_id, list_sort(list(DISTINCT norm)) AS norms, regexp_replace(arg_min(term, rowid), '\\s*\\([^()]*\\)\\s*$', '') AS preferred FROM des GROUP BY concept_id
+), med AS (
+  SELECT (10000000 + n_nationkey)::VARCHAR AS code, n_name AS term FROM nation
+), en AS (
+  SELECT rec.*,
+    CASE WHEN len({bag('rec.text')}) = 0 OR s < 0 OR e <= s THEN 'schema_invalid' WHEN e > length(src) THEN 'span_out_of_range'
+         WHEN {bag('substring(src, s + 1, e - s)')} <> {bag('rec.text')} THEN 'span_ungrounded' END AS span_reason,
+    con.id IS NOT NULL AS present, con.active, con.international,
+    CASE WHEN con.id IS NULL THEN 'unknown' WHEN is_now THEN 'finding' WHEN con.active THEN 'not_finding' WHEN is_ever THEN 'finding' ELSE 'unknown' END AS status,
+    coalesce({norm('rec.text')} <> '' AND list_contains(norms, {norm('rec.text')}), false) AS exact, norms, preferred,
+    CASE WHEN rec.meddra IS NOT NULL THEN med.code IS NOT NULL END AS meddra_present, med.term AS meddra_term
+  FROM rec LEFT JOIN con ON con.id = rec.sct LEFT JOIN tm ON tm.concept_id = rec.sct LEFT JOIN med ON med.code = rec.meddra
+), ju AS (
+  SELECT *, CASE WHEN span_reason IS NOT NULL THEN 'REJECT' WHEN sct = 'CONCEPT_LESS' OR coalesce(sct, '') = '' THEN 'BAND' WHEN NOT present THEN 'REJECT'
+      WHEN entity_type = 'reaction' AND status = 'not_finding' THEN 'REJECT' WHEN exact THEN 'ACCEPT' ELSE 'BAND' END AS verdict,
+    CASE WHEN span_reason IS NOT NULL THEN span_reason WHEN sct = 'CONCEPT_LESS' OR coalesce(sct, '') = '' THEN NULL WHEN NOT present THEN 'code_unknown'
+      WHEN entity_type = 'reaction' AND status = 'not_finding' THEN 'wrong_semantic_type' END AS reason,
+    CASE WHEN span_reason IS NOT NULL THEN NULL WHEN sct = 'CONCEPT_LESS' THEN 'concept_less' WHEN coalesce(sct, '') = '' THEN 'no_code' WHEN NOT present THEN NULL
+      WHEN entity_type = 'reaction' AND status = 'not_finding' THEN NULL WHEN NOT exact THEN 'colloquial_no_lexical_match' END AS band
+  FROM en
+), lab AS (
+  SELECT doc_id AS n_doc, max(quality) = 1 AS is_right FROM labels GROUP BY doc_id
+), sc AS (
+  SELECT ju.*, coalesce(is_right, false) AS is_right FROM ju LEFT JOIN lab USING (n_doc)
+), led AS (
+  SELECT CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 6 ELSE 4 END AS rung, event_id, event_type,
+    CASE event_id % 3 WHEN 0 THEN 'ACCEPT' WHEN 1 THEN 'BAND' ELSE 'REJECT' END AS zone, (props ->> '$.k')::BIGINT AS tk,
+    CASE WHEN event_id % 7 <> 0 THEN value ELSE 0 END AS latency_ms
+  FROM events
+), gold AS (
+  SELECT doc_id, n_doc, 0 AS j, CASE WHEN n_doc % 3 = 0 THEN list_distinct(list_concat(range(10, 10 + n), range(12 + n, 17 + n))) ELSE range(10, 10 + n) END AS cs,
+    CASE n_doc % 25 WHEN 0 THEN 'concept_less' WHEN 1 THEN 'any_of' WHEN 2 THEN 'all_of' ELSE 'single' END AS kind, CASE WHEN n_doc % 25 = 0 THEN NULL ELSE sct END AS code FROM rec
+  UNION ALL SELECT doc_id, n_doc, 1, range(13, 13 + n), 'single', sct FROM rec WHERE n_doc % 8 = 0
+), pred AS (
+  SELECT doc_id, n_doc, 0 AS i, range(10 + 2 * (n_doc % 4), 10 + n + 2 * (n_doc % 4)) AS cs, CASE WHEN n_doc % 5 = 0 THEN 'x' ELSE sct END AS code FROM rec
+  UNION ALL SELECT doc_id, n_doc, 1, range(12, 14 + n), sct FROM rec WHERE n_doc % 9 = 0
+), pairs AS (
+  SELECT p.doc_id, i, j, len(list_intersect(p.cs, g.cs))::DOUBLE / len(list_distinct(list_concat(p.cs, g.cs))) AS iou, p.code AS pcode, g.code AS gcode, kind
+  FROM pred p JOIN gold g USING (doc_id)
+), ann AS (
+  SELECT doc_id, n_doc, 'TT' || (n_doc % 12) AS tag, (n_doc % 50) AS a, (n_doc % 50) + n AS z, (1000000 + pk)::VARCHAR AS c1, (2000000 + pk)::VARCHAR AS c2, n_doc % 9 AS v, term FROM rec
+)
+"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, with SQL that goes on from the common table expressions."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = _BASE + sql
+        return f
+
+    return put
+
+
+# Grounding, terms, context
+
+
+@query("SELECT doc_id, coalesce(span_reason, 'ok') AS outcome FROM en")
+def span_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = B.records(spark, sf_dir).join(B.sources(spark, sf_dir).withColumnRenamed("text", "source"), "doc_id", "left")
+    return r.select("doc_id", F.coalesce(X.span_reason(F.col("entity_type"), F.col("spans"), F.col("text"), F.col("source")), F.lit("ok")).alias("outcome"))
+
+
+@query(f"SELECT doc_id, array_to_string({bag('text')}, ' ') AS words FROM rec WHERE k IN (3, 8, 9)")
+def token_bag_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.records(spark, sf_dir).filter("k in (3, 8, 9)").select("doc_id", F.array_join(X.token_bag(F.col("text")), " ").alias("words"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(substring(src, greatest(s - 45, 0) + 1, e + 45 - greatest(s - 45, 0)), '\s+', ' ', 'g')) AS snippet FROM rec WHERE s >= 0 AND e <= length(src)")
+def context_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = B.raw_mentions(spark, sf_dir).filter("s >= 0 and e <= length(source)")
+    return r.select("doc_id", X.context(F.col("source"), F.array(F.struct("s", "e"))).alias("snippet"))
+
+
+@query("SELECT concept_id, rowid, norm FROM des")
+def term_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.descriptions(spark, sf_dir).select("concept_id", "rowid", "norm")
+
+
+# Vocabulary
+
+
+@query("SELECT 'now' AS kind, (1000000 + id)::VARCHAR AS id FROM fnow")
+def isa_closure_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.vocab(spark, sf_dir).concept.filter("is_finding").select(F.lit("now").alias("kind"), "id")
+
+
+@query("SELECT 'ever' AS kind, (1000000 + id)::VARCHAR AS id FROM fever")
+def isa_closure_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.vocab(spark, sf_dir).concept.filter("is_finding_hist").select(F.lit("ever").alias("kind"), "id")
+
+
+@query("SELECT doc_id, present, coalesce(active, false) AS active, status FROM en")
+def finding_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.enriched(spark, sf_dir).select("doc_id", "present", F.coalesce("active", F.lit(False)).alias("active"), "status")
+
+
+@query("SELECT count(*)::BIGINT AS n, count(*) FILTER (present)::BIGINT AS present, count(*) FILTER (coalesce(active, false))::BIGINT AS active FROM en")
+def concept_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = B.concepts(spark, sf_dir).select(F.col("id").alias("sct"), "active", F.lit(True).alias("present"))
+    return B.records(spark, sf_dir).join(c, "sct", "left").agg(F.count("*").alias("n"), F.count("present").alias("present"), F.count_if("active").alias("active"))
+
+
+@query("SELECT count(*)::BIGINT AS concepts, count(*) FILTER (active)::BIGINT AS active, count(*) FILTER (is_now)::BIGINT AS findings, count(*) FILTER (is_ever)::BIGINT AS findings_hist, 3 * count(*)::BIGINT AS descriptions FROM con")
+def vocabulary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.stats(B.vocab(spark, sf_dir).concept, B.descriptions(spark, sf_dir))
+
+
+@query("SELECT doc_id, exact FROM en")
+def lexical_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.enriched(spark, sf_dir).select("doc_id", "exact")
+
+
+@query(
+    f"""SELECT doc_id, coalesce({norm('text')} <> '' AND len(list_filter(norms, lambda t: t = {norm('text')} OR (len({norm_words('t')}) > 0 AND
+    (len(list_filter({norm_words(norm('text'))}, lambda w: NOT list_contains({norm_words('t')}, w))) = 0 OR len(list_filter({norm_words('t')}, lambda w: NOT list_contains({norm_words(norm('text'))}, w))) = 0)))) > 0, false) AS contained FROM en"""
+)
+def lexical_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.enriched(spark, sf_dir).select("doc_id", "contained")
+
+
+@query("SELECT q.doc_id AS query_doc, count(DISTINCT des.concept_id)::BIGINT AS n_codes, min(des.concept_id) AS first_code FROM rec q JOIN des ON des.norm = " + norm("q.text") + " WHERE q.n_doc % 10 = 8 OR q.n_doc % 10 = 9 GROUP BY q.doc_id")
+def term_reverse_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = B.raw_mentions(spark, sf_dir).filter("n_doc % 10 in (8, 9)").select("doc_id", F.col("text").alias("query"))
+    found = vocabulary.codes_for_terms(B.descriptions(spark, sf_dir), q.select("query").distinct())
+    return q.join(found, "query").groupBy(F.col("doc_id").alias("query_doc")).agg(F.countDistinct("code").alias("n_codes"), F.min("code").alias("first_code"))
+
+
+@query("SELECT concept_id, preferred FROM tm")
+def preferred_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.term_arrays(B.descriptions(spark, sf_dir)).select("concept_id", "preferred")
+
+
+@query(
+    f"""SELECT query, code, place::INT AS place FROM (SELECT query, code, row_number() OVER (PARTITION BY query ORDER BY rowid, code) AS place FROM (
+    SELECT q.p_name AS query, des.concept_id AS code, min(rowid) AS rowid FROM (SELECT DISTINCT p_name FROM part) q JOIN des ON des.norm = {norm('q.p_name')} GROUP BY 1, 2)) WHERE place <= 5"""
+)
+def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.exact_search(B.descriptions(spark, sf_dir), B.table(spark, sf_dir, "part").select(F.col("p_name").alias("query")).distinct())
+
+
+_PLACES = "(SELECT (10000000 + n_nationkey)::VARCHAR AS code, n_name || ' ' || r_name AS term FROM nation JOIN region ON r_regionkey = n_regionkey)"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = B.table(spark, sf_dir, "nation"), B.table(spark, sf_dir, "region")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select((F.col("n_nationkey") + 10000000).cast("string").alias("code"), F.concat_ws(" ", "n_name", "r_name").alias("term"))
+
+
+@query(
+    f"""SELECT query, code, place::INT AS place, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS place FROM (
+    SELECT q.term AS query, c.code, len(list_intersect({norm_words(norm('q.term'))}, {norm_words(norm('c.term'))}))::DOUBLE / len(list_distinct(list_concat({norm_words(norm('q.term'))}, {norm_words(norm('c.term'))}))) AS score
+    FROM {_PLACES} q CROSS JOIN {_PLACES} c) WHERE score > 0) WHERE place <= 5"""
+)
+def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = _places(spark, sf_dir)
+    return vocabulary.jaccard_search(places, places.select(F.col("term").alias("query"))).select("query", "code", "place", "score")
+
+
+@query("SELECT doc_id, meddra_present, meddra_term FROM en")
+def meddra_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.enriched(spark, sf_dir).select("doc_id", "meddra_present", "meddra_term")
+
+
+@query(f"SELECT doc_id, CASE WHEN meddra_term IS NULL OR preferred IS NULL THEN NULL ELSE len(list_intersect({norm_words(norm('meddra_term'))}, {norm_words(norm('preferred'))})) > 0 END AS agrees FROM en")
+def cross_vocabulary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.enriched(spark, sf_dir).select("doc_id", vocabulary.agreement(F.col("meddra_term"), F.col("preferred")).alias("agrees"))
+
+
+@query("SELECT count(*)::BIGINT AS n_codes, count(g.meddra)::BIGINT AS n_also_in_gold, (count(*) - count(g.meddra))::BIGINT AS n_independent_of_gold, count(*) = count(g.meddra) AS derived_from_gold FROM med LEFT JOIN (SELECT DISTINCT meddra FROM rec WHERE n_doc % 2 = 0) g ON g.meddra = med.code")
+def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = B.raw_mentions(spark, sf_dir).filter("n_doc % 2 = 0 and meddra is not null").select(F.col("meddra").alias("code"))
+    return vocabulary.leakage(B.code_list(spark, sf_dir), gold)
+
+
+@query("SELECT class, entity_type, count(*)::BIGINT AS n FROM (SELECT entity_type, CASE WHEN NOT present THEN 'absent' WHEN NOT active THEN 'retired' WHEN international THEN 'both' ELSE 'extension' END AS class FROM en WHERE coalesce(sct, '') NOT IN ('', 'CONCEPT_LESS')) GROUP BY ALL")
+def crosscheck_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = B.concepts(spark, sf_dir).select(F.col("id").alias("sct"), "active", (F.col("module_id") == vocabulary.INTERNATIONAL).alias("international"), F.lit(True).alias("present"))
+    rows = B.records(spark, sf_dir).filter("coalesce(sct, '') not in ('', 'CONCEPT_LESS')").join(c, "sct", "left")
+    return rows.groupBy(diagnosis.backend_class(F.col("present"), F.col("active"), F.col("international")).alias("class"), "entity_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*)::BIGINT AS sampled, count(*) FILTER (present = (present AND active AND international))::BIGINT AS agreed FROM (SELECT DISTINCT sct, present, coalesce(active, false) AS active, coalesce(international, false) AS international FROM en WHERE coalesce(sct, '') NOT IN ('', 'CONCEPT_LESS'))")
+def lossy_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = B.vocab(spark, sf_dir)
+    remote = vocabulary.restricted(v, B.concepts(spark, sf_dir))
+    codes = B.records(spark, sf_dir).filter("coalesce(sct, '') not in ('', 'CONCEPT_LESS')").select(F.col("sct").alias("id")).distinct()
+    here, there = v.concept.select("id", F.lit(True).alias("here")), remote.concept.select("id", F.lit(True).alias("there"))
+    both = codes.join(here, "id", "left").join(there, "id", "left")
+    return both.agg(F.count("*").alias("sampled"), F.count_if(F.col("here").isNotNull() == (F.col("there").isNotNull() & vocabulary.code_shape(F.col("id")))).alias("agreed"))
+
+
+@query(f"SELECT doc_id, coalesce(len(list_filter(list_value(p_name, p_brand), lambda t: trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(rec.text), '\\s+', ' ', 'g')))) > 0, false) AS same FROM rec LEFT JOIN con ON con.id = rec.sct")
+def plain_lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = B.descriptions(spark, sf_dir).filter("not fsn").groupBy(F.col("concept_id").alias("sct")).agg(F.collect_list("term").alias("terms"))
+    return B.records(spark, sf_dir).join(terms, "sct", "left").select("doc_id", vocabulary.plain_lexical_match(F.col("terms"), F.col("text")).alias("same"))
+
+
+# Stage 1
+
+
+@query()
+def negation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.enriched(spark, sf_dir).select("doc_id", F.col("cue").isNotNull().alias("negated"), "cue")
+
+
+@query()
+def negation_cue_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.enriched(spark, sf_dir).filter("cue is not null").groupBy("cue").agg(F.count("*").alias("n"))
+
+
+@query("SELECT verdict, coalesce(reason, '') AS reason, count(*)::BIGINT AS n FROM ju GROUP BY ALL")
+def r1_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = B.enriched(spark, sf_dir).select(stages.verdict().alias("v"))
+    return v.groupBy("v.verdict", F.coalesce("v.reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, verdict, reason, band FROM ju")
+def r1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.enriched(spark, sf_dir).select("doc_id", stages.verdict().alias("v")).select("doc_id", "v.verdict", "v.reason", "v.band")
+
+
+@query("SELECT entity_type, verdict, count(*)::BIGINT AS n FROM ju GROUP BY ALL")
+def r1_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = B.enriched(spark, sf_dir).select("entity_type", stages.verdict()["verdict"].alias("verdict"))
+    return v.groupBy("entity_type", "verdict").agg(F.count("*").alias("n"))
+
+
+_CODED = "coalesce(sct, '') NOT IN ('', 'CONCEPT_LESS')"
+_ALL = f"list_filter(list_value(span_reason, CASE WHEN {_CODED} AND NOT present THEN 'code_unknown' END, CASE WHEN {_CODED} AND present AND entity_type = 'reaction' AND status = 'not_finding' THEN 'wrong_semantic_type' END), lambda x: x IS NOT NULL)"
+
+
+@query(
+    f"""SELECT reason, coalesce(n_verdict, 0)::BIGINT AS n_verdict, coalesce(n_all, 0)::BIGINT AS n_all, greatest(coalesce(n_all, 0) - coalesce(n_verdict, 0), 0)::BIGINT AS masked FROM
+    (SELECT x AS reason, count(*) AS n_all FROM (SELECT unnest({_ALL}) AS x FROM ju) GROUP BY 1) FULL JOIN (SELECT reason, count(*) AS n_verdict FROM ju WHERE reason IS NOT NULL GROUP BY 1) USING (reason)"""
+)
+def r1_audit_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.masked(B.enriched(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, array_to_string({_ALL}, ',') AS reasons, span_reason IS NOT NULL AS negation_unevaluable FROM ju")
+def r1_audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = B.enriched(spark, sf_dir).select("doc_id", stages.audit().alias("a"))
+    return a.select("doc_id", F.array_join("a.reasons", ",").alias("reasons"), F.map_contains_key("a.unevaluable", "negation").alias("negation_unevaluable"))
+
+
+_DECIDE = """CASE WHEN verdict = 'REJECT' THEN 'ABSTAIN' WHEN {0} > 0 AND confidence < {0} THEN 'ABSTAIN' WHEN verdict = 'BAND' THEN 'ABSTAIN' WHEN verdict = 'ACCEPT' THEN 'VERIFIED' ELSE {1} END"""
+
+
+@query(f"SELECT mode, zone, count(*)::BIGINT AS n, count(*) FILTER (zone = 'ABSTAIN')::BIGINT AS withheld FROM (SELECT unnest(['gate', 'observe']) AS mode, {_DECIDE.format('0.0', chr(39) + 'NEW' + chr(39))} AS zone FROM ju) GROUP BY ALL")
+def r1_gate_vs_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.enriched(spark, sf_dir)
+    one = lambda mode: stages.apply_abstention(stages.apply_checks(e, {"mode": mode})).select(F.lit(mode).alias("mode"), "zone", F.col("withheld_confidence").isNotNull().alias("w"))
+    return one("gate").unionByName(one("observe")).groupBy("mode", "zone").agg(F.count("*").alias("n"), F.count_if("w").alias("withheld"))
+
+
+# Stage 2
+
+
+@query(
+    f"""SELECT doc_id, {_DECIDE.format('0.5', "'NEW'")} AS zone, CASE WHEN verdict = 'REJECT' THEN reason WHEN confidence < 0.5 THEN 'low_confidence' WHEN verdict = 'BAND' THEN 'unresolved' END AS reason,
+    CASE WHEN {_DECIDE.format('0.5', "'NEW'")} = 'ABSTAIN' THEN NULL ELSE sct END AS sct, CASE WHEN {_DECIDE.format('0.5', "'NEW'")} = 'ABSTAIN' THEN sct END AS withheld_sct FROM ju"""
+)
+def r2_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stages.apply_abstention(stages.apply_checks(B.enriched(spark, sf_dir)), {"tau": 0.5})
+    return out.select("doc_id", "zone", "reason", "sct", "withheld_sct")
+
+
+_TAUS = "(SELECT i / 20.0::DOUBLE AS tau FROM range(21) t(i))"
+_SWEEP = f"""SELECT tau, n, answered, correct, over_abstention, coalesce(answered::DOUBLE / nullif(n, 0), 0) AS coverage, coalesce(1 - correct::DOUBLE / nullif(answered, 0), 0) AS risk FROM (
+  SELECT tau, count(*)::BIGINT AS n, count(*) FILTER (z <> 'ABSTAIN')::BIGINT AS answered, count(*) FILTER (z <> 'ABSTAIN' AND is_right)::BIGINT AS correct, count(*) FILTER (z = 'ABSTAIN' AND is_right)::BIGINT AS over_abstention
+  FROM (SELECT tau, is_right, {_DECIDE.format('tau', "'NEW'")} AS z FROM sc CROSS JOIN {_TAUS}) GROUP BY tau)"""
+
+
+def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = stages.apply_checks(B.correct(spark, sf_dir, B.enriched(spark, sf_dir)))
+    return curves.sweep(judged, F.col("right"))
+
+
+@query(_SWEEP)
+def tau_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curve(spark, sf_dir).select("tau", "n", "answered", "correct", "over_abstention", "coverage", "risk")
+
+
+@query(f"SELECT round(CASE WHEN max(coverage) > min(coverage) THEN sum((coverage - c0) * (risk + r0) / 2) / (max(coverage) - min(coverage)) ELSE 0 END, 9) AS aurc FROM (SELECT coverage, risk, lag(coverage) OVER w AS c0, lag(risk) OVER w AS r0 FROM ({_SWEEP}) WINDOW w AS (ORDER BY coverage, risk))")
+def aurc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.area(_curve(spark, sf_dir)).select(F.round("aurc", 9).alias("aurc"))
+
+
+@query(f"SELECT tau, answered FROM ({_SWEEP}) WHERE over_abstention = 0 AND coverage < 1 ORDER BY tau DESC LIMIT 1")
+def free_lunch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.free_lunch(_curve(spark, sf_dir)).select("tau", "answered")
+
+
+# Ledger and results
+
+
+_P95 = """(SELECT rung, v AS p95 FROM (SELECT rung, latency_ms AS v, row_number() OVER (PARTITION BY rung ORDER BY latency_ms) - 1 AS i, count(*) OVER (PARTITION BY rung) AS n FROM led WHERE latency_ms <> 0) WHERE i = least(n - 1, round_even(0.95::DOUBLE * (n - 1), 0)::BIGINT))"""
+_COST = f"""SELECT rung, sum(tk)::BIGINT AS tokens_in, (2 * sum(tk))::BIGINT AS tokens_out, count(*)::BIGINT AS records, count(*) FILTER (event_type = 'purchase')::BIGINT AS reviewed, 3 * sum(tk)::DOUBLE / count(*) AS tokens_per_record, any_value(p95) / 1000 AS p95_latency_s FROM led LEFT JOIN {_P95} USING (rung) GROUP BY rung"""
+
+
+@query(_COST)
+def ledger_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.cost_by_stage(B.ledger(spark, sf_dir)).select("rung", "tokens_in", "tokens_out", "records", "reviewed", "tokens_per_record", "p95_latency_s")
+
+
+@query(f"SELECT rung, p95 FROM {_P95}")
+def ledger_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.p95(B.ledger(spark, sf_dir), ["rung"])
+
+
+@query("SELECT (3 * sum(tk))::BIGINT AS tokens, count(*)::BIGINT AS api_calls, count(*) FILTER (event_type = 'purchase')::BIGINT AS reviewed, count(*)::BIGINT AS rows, round(sum(latency_ms::DECIMAL(18, 4))::DOUBLE / 1000, 4) AS wall_clock_s FROM led")
+def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.ledger(spark, sf_dir).withColumn("latency_ms", F.col("latency_ms").cast("decimal(18,4)"))
+    return ledger.totals(rows).select("tokens", "api_calls", "reviewed", "rows", F.round(F.col("wall_clock_s").cast("double"), 4).alias("wall_clock_s"))
+
+
+@query("SELECT rung, zone AS verdict, count(*)::BIGINT AS n FROM led WHERE event_type = 'view' GROUP BY ALL")
+def ledger_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.histogram(B.ledger(spark, sf_dir), "verdict")
+
+
+@query("SELECT rung, 'code_unknown' AS reason, count(*)::BIGINT AS n FROM led WHERE event_type = 'error' GROUP BY ALL")
+def ledger_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.histogram(B.ledger(spark, sf_dir), "reason")
+
+
+@query("SELECT rung, zone, count(*)::BIGINT AS n FROM led GROUP BY ALL")
+def ledger_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.histogram(B.ledger(spark, sf_dir), "zone")
+
+
+_SNAP = """SELECT {rung} AS rung, {place} AS place, count(*)::BIGINT AS n_records, count(*) FILTER ({j} = 'ACCEPT')::BIGINT AS accept, count(*) FILTER ({j} = 'BAND')::BIGINT AS band, count(*) FILTER ({j} = 'REJECT')::BIGINT AS reject,
+  count(*) FILTER ({j} = 'ABSTAIN')::BIGINT AS abstained, count(*) FILTER ({z} NOT IN ('NEW', 'BAND', 'REJECT'))::BIGINT AS settled, count(*) FILTER ({a})::BIGINT AS answered, count(*) FILTER (({a}) AND is_right)::BIGINT AS correct FROM sc"""
+_SNAPS = (
+    _SNAP.format(rung=1, place=1, j="verdict", z="'NEW'", a="coalesce(sct, '') <> ''") + " UNION ALL "
+    + _SNAP.format(rung=2, place=2, j=f"({_DECIDE.format('0.0', chr(39) + 'NEW' + chr(39))})", z=f"({_DECIDE.format('0.0', chr(39) + 'NEW' + chr(39))})", a=f"({_DECIDE.format('0.0', chr(39) + 'NEW' + chr(39))}) <> 'ABSTAIN' AND coalesce(sct, '') <> ''")
+)
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = stages.run(B.correct(spark, sf_dir, B.enriched(spark, sf_dir)), [0, 1, 2, 3, 4, 5, 6], [1, 2])
+    one = lambda i, n: ledger.snapshot_counts(done.snapshots[n], F.col("right"), "r1_verdict" if n == 1 else "zone").withColumns({"rung": F.lit(n), "place": F.lit(i)})
+    first, *rest = [one(i, n) for i, n in enumerate(done.order, 1)]
+    for r in rest:
+        first = first.unionByName(r)
+    return first
+
+
+@query(_SNAPS)
+def results_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(spark, sf_dir).select("rung", "place", "n_records", "accept", "band", "reject", "abstained", "settled", "answered", "correct")
+
+
+@query(
+    f"""SELECT s.rung, (answered - correct)::BIGINT AS corrupted, CASE WHEN prevented > 0 THEN (tokens_in + tokens_out)::DOUBLE / prevented END AS marginal_tokens_per_error, CASE WHEN s.rung = 1 THEN 100.0 * reject / n_records END::DOUBLE AS r1_reject_pct
+    FROM (SELECT *, lag(answered - correct) OVER (ORDER BY place) - (answered - correct) AS prevented FROM ({_SNAPS})) s LEFT JOIN ({_COST}) c ON c.rung = s.rung"""
+)
+def marginal_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ledger.results(_counted(spark, sf_dir), ledger.cost_by_stage(B.ledger(spark, sf_dir)))
+    return out.select("rung", "corrupted", F.col("marginal_tokens_per_error").cast("double").alias("marginal_tokens_per_error"), F.col("r1_reject_pct").cast("double").alias("r1_reject_pct"))
+
+
+@query(
+    """SELECT layer, zone, count(*)::BIGINT AS n FROM (SELECT unnest(['input', '1', '2']) AS layer, verdict FROM ju) CROSS JOIN LATERAL (SELECT CASE layer WHEN '1' THEN verdict ELSE 'NEW' END AS zone) GROUP BY ALL"""
+)
+def ablation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = stages.ablate(B.enriched(spark, sf_dir), [0, 1, 2], {1: {"mode": "gate"}})
+    out = None
+    for name in done.order:
+        rows = done.snapshots[name].select(F.lit(str(name)).alias("layer"), "zone")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("layer", "zone").agg(F.count("*").alias("n"))
+
+
+# Alignment
+
+
+@query("SELECT doc_id, i, j, iou FROM pairs WHERE iou >= 0.3 AND iou > 0")
+def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.candidates(B.predicted_mentions(spark, sf_dir), B.gold_mentions(spark, sf_dir), 0.3)
+
+
+def _matched(spark: SparkSession, sf_dir: str, threshold: float, matcher: str = "greedy") -> DataFrame:
+    return alignment.align(B.predicted_mentions(spark, sf_dir), B.gold_mentions(spark, sf_dir), threshold, matcher)
+
+
+@query()
+def align_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir, 0.5)
+
+
+@query()
+def align_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir, 0.5, "optimal")
+
+
+@query()
+def span_code_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score(B.predicted_mentions(spark, sf_dir), B.gold_mentions(spark, sf_dir), _matched(spark, sf_dir, 0.5))
+
+
+_ONE = "(SELECT doc_id FROM pred GROUP BY doc_id HAVING count(*) = 1) p1 JOIN (SELECT doc_id FROM gold GROUP BY doc_id HAVING count(*) = 1) g1 USING (doc_id)"
+
+
+@query(f"SELECT t / 10.0::DOUBLE AS threshold, count(*)::BIGINT AS matched, count(*) FILTER (kind <> 'concept_less' AND gcode IS NOT NULL AND pcode = gcode)::BIGINT AS code_correct FROM pairs JOIN (SELECT doc_id FROM {_ONE}) USING (doc_id) CROSS JOIN range(1, 10) r(t) WHERE iou >= t / 10.0::DOUBLE GROUP BY t")
+def theta_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with one mention on either side, where every matcher is the same: one candidate pass serves all thresholds."""
+    p, g = B.predicted_mentions(spark, sf_dir), B.gold_mentions(spark, sf_dir)
+    alone = lambda df: df.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
+    p, g = p.join(alone(p), "doc_id").join(alone(g), "doc_id"), g
+    pairs = alignment.candidates(p, g, 0.1).withColumn("threshold", F.explode(F.array(*(F.lit(t / 10) for t in range(1, 10))))).filter("iou >= threshold")
+    rows = pairs.join(p.select("doc_id", "i", "code"), ["doc_id", "i"]).join(g.select("doc_id", "j", "sct", "gold_kind"), ["doc_id", "j"])
+    right = F.col("gold_kind").isin(*schema.GRADABLE_KINDS) & F.coalesce(F.array_contains("sct", F.col("code")), F.lit(False))
+    return rows.groupBy("threshold").agg(F.count("*").alias("matched"), F.count_if(right).alias("code_correct"))
+
+
+# Splits
+
+
+_DRAW = "md5('42|' || doc_id::VARCHAR)"
+
+
+def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "en").otherwise("other").alias("stratum"))
+
+
+def _allocation_sql(sizes: str, n: int) -> str:
+    return f"(SELECT stratum, n_docs, base + CASE WHEN row_number() OVER (ORDER BY want - base DESC, stratum) <= {n} - sum(base) OVER () THEN 1 ELSE 0 END AS take FROM (SELECT stratum, n_docs, {n} * n_docs::DOUBLE / sum(n_docs) OVER () AS want, floor({n} * n_docs::DOUBLE / sum(n_docs) OVER ())::BIGINT AS base FROM {sizes}))"
+
+
+_SIZES = "(SELECT CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS stratum, count(*) AS n_docs FROM documents GROUP BY 1)"
+_DEV = _allocation_sql(_SIZES, 40)
+_TEST = _allocation_sql(f"(SELECT stratum, n_docs - take AS n_docs FROM {_DEV})", 60)
+
+
+@query(f"SELECT stratum, n_docs::BIGINT AS n_docs, take::BIGINT AS take FROM {_DEV}")
+def split_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.allocations(_strata(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("n_docs")), 40)
+
+
+@query(
+    f"""SELECT doc_id, stratum, CASE WHEN place <= d.take THEN 'dev' WHEN place <= d.take + t.take THEN 'test' ELSE 'pool' END AS split FROM
+    (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {_DRAW}, doc_id) AS place FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS stratum FROM documents)) JOIN {_DEV} d USING (stratum) JOIN {_TEST} t USING (stratum)"""
+)
+def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign(_strata(spark, sf_dir))
+
+
+@query("SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def split_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.outside(B.table(spark, sf_dir, "labels"), B.table(spark, sf_dir, "documents").filter("lang = 'en'"))
+
+
+@query("SELECT labels.doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def split_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table(spark, sf_dir, "labels").join(B.table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", "left_semi").select("doc_id", "quality")
+
+
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id || '#p' || doc_id ELSE doc_id || '#0' END AS record_id FROM documents")
+def prediction_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = B.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("position"), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit("#0"))).alias("record_id"))
+    return readers.backfilled(r).select("record_id")
+
+
+# Annotation files
+
+_KIND = "CASE v WHEN 2 THEN 'concept_less' WHEN 3 THEN 'all_of' WHEN 4 THEN 'any_of' ELSE 'single' END"
+_CODES = "CASE v WHEN 2 THEN '' WHEN 3 THEN c1 || ',' || c2 WHEN 4 THEN c1 || ',' || c2 ELSE c1 END"
+
+
+@query(f"SELECT doc_id, tag, {_CODES} AS codes, {_KIND} AS gold_kind, a || '-' || z || CASE WHEN v = 2 THEN ',200-204' ELSE '' END AS spans, term AS quoted FROM ann WHERE v <> 6")
+def ann_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.code_layer(B.annotation_lines(spark, sf_dir))
+    spans = F.array_join(F.transform("spans", lambda p: F.concat_ws("-", p["s"].cast("string"), p["e"].cast("string"))), ",")
+    return rows.select("doc_id", "tag", F.array_join("codes", ",").alias("codes"), "gold_kind", spans.alias("spans"), "quoted")
+
+
+@query(f"SELECT {_KIND} AS gold_kind, count(*)::BIGINT AS n FROM ann WHERE v <> 6 GROUP BY 1")
+def gold_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.code_layer(B.annotation_lines(spark, sf_dir)).groupBy("gold_kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_doc, (row_number() OVER (PARTITION BY n_doc // 7 ORDER BY n_doc % 12, tag, n_doc) - 1)::INT AS idx FROM ann")
+def tag_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.annotation_lines(spark, sf_dir).select("n_doc", X.split_row(F.col("line"))["tag"].alias("tag"))
+    order = Window.partitionBy(F.expr("n_doc div 7")).orderBy(X.tag_number(F.col("tag")), "tag", "n_doc")
+    return rows.select("n_doc", (F.row_number().over(order) - 1).alias("idx"))
+
+
+@query("SELECT doc_id, CASE WHEN n_doc % 2 = 0 AND n_doc % 4 = 0 THEN 'drug' ELSE 'reaction' END AS entity_type, CASE WHEN n_doc % 2 = 0 THEN CASE WHEN n_doc % 4 = 0 THEN 'Drug' ELSE 'Symptom' END ELSE 'ADR' END AS src_type, CASE WHEN n_doc % 3 = 0 THEN 1 ELSE 0 END AS n_meddra FROM ann WHERE v <> 6")
+def type_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = B.annotation_lines(spark, sf_dir)
+    tag = F.concat(F.lit("T"), (F.col("n_doc") % 12).cast("string"))
+    types = lines.filter("n_doc % 2 = 0").select("doc_id", F.concat(tag, F.lit("\t"), F.when(F.col("n_doc") % 4 == 0, "Drug").otherwise("Symptom"), F.lit(" 1 4\tabc")).alias("line"))
+    other = lines.filter("n_doc % 3 = 0").select("doc_id", F.concat(F.lit("T"), tag, F.lit("\t10013649 1 4\tabc")).alias("line"))
+    g = readers.gold(readers.code_layer(lines), readers.type_layer(types), readers.code_layer(other))
+    return g.select("doc_id", "entity_type", "src_type", F.size("meddra").alias("n_meddra"))
+
+
+# Diagnosis
+
+
+_VARIANTS = """(SELECT unnest(['default', 'finding_all', 'no_finding', 'reject_inactive', 'meddra_reject']) AS variant)"""
+_VREASON = f"""CASE WHEN span_reason IS NOT NULL THEN span_reason WHEN NOT {_CODED} THEN NULL WHEN NOT present THEN 'code_unknown' WHEN variant = 'reject_inactive' AND NOT active THEN 'code_inactive'
+  WHEN variant <> 'no_finding' AND (entity_type = 'reaction' OR variant = 'finding_all') AND status = 'not_finding' THEN 'wrong_semantic_type' WHEN variant = 'meddra_reject' AND NOT meddra_present THEN 'meddra_unknown' END"""
+
+
+@query(f"SELECT variant, coalesce(reason, '') AS reason, entity_type, CASE WHEN reason IS NOT NULL THEN 'REJECT' WHEN {_CODED} AND exact THEN 'ACCEPT' ELSE 'BAND' END AS verdict, count(*)::BIGINT AS n FROM (SELECT variant, entity_type, sct, exact, {_VREASON} AS reason FROM en CROSS JOIN {_VARIANTS}) GROUP BY ALL")
+def calibrate_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("default", "finding_all", "no_finding", "reject_inactive", "meddra_reject")
+    return diagnosis.calibrate(B.enriched(spark, sf_dir), {k: diagnosis.VARIANTS[k] for k in names}).withColumn("reason", F.coalesce("reason", F.lit("")))
+
+
+@query("SELECT reason, doc_id, place::INT AS place FROM (SELECT reason, doc_id, row_number() OVER (PARTITION BY reason ORDER BY n_doc) AS place FROM ju WHERE reason IS NOT NULL) WHERE place <= 6")
+def example_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.enriched(spark, sf_dir).select("doc_id", "n_doc", stages.verdict()["reason"].alias("reason")).filter("reason is not null")
+    return diagnosis.examples(rows, ["reason"], ["n_doc"]).select("reason", "doc_id", "place")
+
+
+def _planted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    v = B.vocab(spark, sf_dir)
+    records = B.records(spark, sf_dir).filter("k >= 7")
+    none = spark.createDataFrame([], "code string, place long, sibling string")
+    near = none
+    if kind == "sibling_wrong":
+        codes = records.select(F.col("sct").alias("concept_id")).distinct().join(v.terms, "concept_id").select(F.col("concept_id").alias("code"), "preferred")
+        near = diagnosis.siblings(B.descriptions(spark, sf_dir), v.concept, codes)
+    bad = diagnosis.plant(records, kind, diagnosis.pool(v.concept.filter("active and not is_finding"), "id"), diagnosis.pool(v.concept.filter("active and is_finding"), "id"), near)
+    judged = stages.enrich(bad, B.sources(spark, sf_dir), v, B.code_list(spark, sf_dir)).withColumn("verdict", stages.verdict({"meddra_check": "reject"} if kind == "meddra_hallucinated" else None)["verdict"])
+    return diagnosis.detection(judged.withColumn("kind", F.lit(kind)), ["kind", "entity_type"])
+
+
+def _probe_sql(kind: str, changed: str, skipped: str, joins: str = "") -> str:
+    """Counts after a fault; `changed` gives sct, s, e, text and meddra of the faulty record."""
+    return f"""SELECT kind, entity_type, count(*) FILTER (NOT skipped)::BIGINT AS n, count(*) FILTER (skipped)::BIGINT AS skipped, count(*) FILTER (NOT skipped AND verdict = 'REJECT')::BIGINT AS rejected,
+      count(*) FILTER (NOT skipped AND verdict = 'BAND')::BIGINT AS banded, count(*) FILTER (NOT skipped AND verdict = 'ACCEPT')::BIGINT AS accepted FROM (
+      SELECT '{kind}' AS kind, f.entity_type, skipped, CASE WHEN len({bag('ftext')}) = 0 OR fs < 0 OR fe <= fs OR fe > length(src) OR {bag('substring(src, fs + 1, fe - fs)')} <> {bag('ftext')} THEN 'REJECT' WHEN con.id IS NULL THEN 'REJECT'
+        WHEN f.entity_type = 'reaction' AND NOT is_now AND con.active THEN 'REJECT' WHEN '{kind}' = 'meddra_hallucinated' AND fmed IS NOT NULL AND med.code IS NULL THEN 'REJECT'
+        WHEN list_contains(norms, {norm('ftext')}) AND {norm('ftext')} <> '' THEN 'ACCEPT' ELSE 'BAND' END AS verdict
+      FROM (SELECT rec.*, {changed}, {skipped} AS skipped FROM rec {joins} WHERE k >= 7) f LEFT JOIN con ON con.id = fsct LEFT JOIN tm ON tm.concept_id = fsct LEFT JOIN med ON med.code = fmed) GROUP BY ALL"""
+
+
+def _draw_sql(kind: str, n: str) -> str:
+    return f"(('0x' || substring(md5('42|{kind}|' || rec.doc_id || '#0'), 1, 8))::BIGINT % {n})"
+
+
+_SAME = "s AS fs, e AS fe, text AS ftext, meddra AS fmed"
+
+
+def _pool_sql(which: str) -> str:
+    return f"(SELECT id, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS size FROM (SELECT id FROM con WHERE active AND {which} ORDER BY id LIMIT 4000))"
+
+
+_PROBES = {
+    "hallucinated_code": _probe_sql("hallucinated_code", f"(100000000 + {_draw_sql('hallucinated_code', '900000000')})::VARCHAR AS fsct, {_SAME}", "false"),
+    "wrong_type_code": _probe_sql("wrong_type_code", f"coalesce(q.id, sct) AS fsct, {_SAME}", "q.id IS NULL", f"LEFT JOIN {_pool_sql('NOT is_now')} q ON q.place = {_draw_sql('wrong_type_code', 'q.size')}"),
+    "span_shift": _probe_sql("span_shift", "sct AS fsct, s + 2 AS fs, e + 2 AS fe, text AS ftext, meddra AS fmed", "false"),
+    "span_fabricate": _probe_sql("span_fabricate", "sct AS fsct, s AS fs, e AS fe, text || ' zenoprofen' AS ftext, meddra AS fmed", "false"),
+    "plausible_wrong": _probe_sql("plausible_wrong", f"coalesce(q.id, sct) AS fsct, {_SAME}", "q.id IS NULL OR q.id = sct", f"LEFT JOIN {_pool_sql('is_now')} q ON q.place = {_draw_sql('plausible_wrong', 'q.size')}"),
+    "meddra_hallucinated": _probe_sql("meddra_hallucinated", f"sct AS fsct, s AS fs, e AS fe, text AS ftext, CASE WHEN meddra IS NOT NULL THEN (10000000 + {_draw_sql('meddra_hallucinated', '90000000')})::VARCHAR END AS fmed", "meddra IS NULL"),
+    "sibling_wrong": _probe_sql(
+        "sibling_wrong", f"coalesce(q.sibling, sct) AS fsct, {_SAME}", "q.sibling IS NULL",
+        f"LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY code) AS size FROM (SELECT code, sibling, row_number() OVER (PARTITION BY code ORDER BY sibling) - 1 AS place FROM (SELECT DISTINCT t.concept_id AS code, d.concept_id AS sibling FROM tm t "
+        "JOIN (SELECT DISTINCT sct FROM rec WHERE k >= 7) u ON u.sct = t.concept_id JOIN des d ON ends_with(d.norm, lower(split_part(t.preferred, ' ', -1))) AND d.concept_id <> t.concept_id "
+        "JOIN con ON con.id = d.concept_id AND con.is_now AND con.active WHERE length(split_part(t.preferred, ' ', -1)) >= 4)) WHERE place < 8) q ON q.code = rec.sct AND q.place = " + _draw_sql("sibling_wrong", "q.size"),
+    ),
+}
+for _i, _kind in enumerate(diagnosis.FAULTS, 1):
+    QUERIES[f"probe_c{_i}"] = lambda spark, sf_dir, kind=_kind: _planted(spark, sf_dir, kind)
+    ORACLES[f"probe_c{_i}"] = _BASE + _PROBES[_kind]
+
+
+@query(
+    "SELECT t.concept_id AS code, count(DISTINCT d.concept_id)::BIGINT AS n FROM tm t JOIN (SELECT DISTINCT sct FROM rec WHERE k >= 7) u ON u.sct = t.concept_id JOIN des d ON ends_with(d.norm, lower(split_part(t.preferred, ' ', -1))) AND d.concept_id <> t.concept_id "
+    "JOIN con ON con.id = d.concept_id AND con.is_now AND con.active WHERE length(split_part(t.preferred, ' ', -1)) >= 4 GROUP BY 1"
+)
+def sibling_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = B.vocab(spark, sf_dir)
+    codes = B.records(spark, sf_dir).filter("k >= 7").select(F.col("sct").alias("concept_id")).distinct().join(v.terms, "concept_id").select(F.col("concept_id").alias("code"), "preferred")
+    return diagnosis.siblings(B.descriptions(spark, sf_dir), v.concept, codes, k=1 << 30).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT metric, coalesce(sum(value) FILTER (mode = 'A'), 0)::BIGINT AS a, coalesce(sum(value) FILTER (mode = 'B'), 0)::BIGINT AS b FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS mode, unnest([zone, 'tokens']) AS metric, unnest([1, tk]) AS value FROM led) GROUP BY metric"""
+)
+def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = B.table(spark, sf_dir, "events")
+    zone = F.when(F.col("event_id") % 3 == 0, "ACCEPT").when(F.col("event_id") % 3 == 1, "BAND").otherwise("REJECT")
+    both = F.array(F.struct(zone.alias("metric"), F.lit(1).cast("long").alias("value")), F.struct(F.lit("tokens").alias("metric"), F.get_json_object("props", "$.k").cast("long").alias("value")))
+    return diagnosis.side_by_side(e.select(F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("mode"), F.explode(both).alias("x")).select("mode", "x.metric", "x.value"))
+
+
+# Model output
+
+
+@query("SELECT count(*)::BIGINT AS documents, count(*) FILTER (event_id % 10 = 0)::BIGINT AS parse_failures FROM events")
+def json_parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 10 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    return B.table(spark, sf_dir, "events").select(raw.alias("raw")).agg(F.count("*").alias("documents"), F.count_if(readers.parse_failed(F.col("raw"))).alias("parse_failures"))
+
+
+@query(
+    """SELECT doc_id || '#p0' AS record_id, s0::INT AS s, (s0 + n)::INT AS e, CASE WHEN doc_id % 2 = 0 AND upper(term) <> term THEN 'search_case_insensitive' ELSE 'search_unique' END AS how
+    FROM r WHERE strpos(lower(pre || cue), lower(term)) = 0 AND length(lower(pre)) = length(pre)"""
+)
+def rung0_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model output that quotes the planted mention, in capitals on even documents, with offsets that are wrong."""
+    m = B.raw_mentions(spark, sf_dir).withColumn("head", F.expr("left(source, length(source) - length(term) - 7)"))
+    m = m.filter((F.instr(F.lower("head"), F.lower("term")) == 0) & (F.length(F.lower("head")) == F.length("head")))
+    said = F.when(F.col("n_doc") % 2 == 0, F.upper("term")).otherwise(F.col("term"))
+    raw = m.select("doc_id", F.to_json(F.struct(F.array(F.struct(said.alias("span_text"), F.lit(0).alias("start"), F.lit(3).alias("end"), F.col("sct").alias("code"), F.lit(0.5).alias("confidence"))).alias("mentions"))).alias("raw"))
+    out = extraction.records(raw, m.select("doc_id", F.col("source").alias("text")))
+    first = F.get("spans", F.lit(0))
+    return out.select("record_id", first["s"].alias("s"), first["e"].alias("e"), F.col("offsets").alias("how"))
+
+
+@query("SELECT doc_id, item_id, (strpos(d.text, substring(b.text, 1, 60)) - 1)::INT AS s FROM documents d JOIN benchmark b ON strpos(d.text, substring(b.text, 1, 60)) > 0")
+def offset_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents quote the first 60 characters of a benchmark item. A document meets an item only if it holds the item's second to fourth word in a row."""
+    b = B.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle"))
+    b = b.withColumn("gram", F.xxhash64(F.array_join(F.slice(F.split("needle", r"\s+"), 2, 3), " ")))
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", F.split("text", r"\s+"))
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 3), " ")))
+    met = d.select("doc_id", F.explode(F.array_distinct(hashes)).alias("gram")).join(b.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
+    found = met.join(b.drop("gram"), "item_id").join(d.drop("w"), "doc_id").select("doc_id", "item_id", (F.instr("text", F.col("needle")) - 1).alias("s"))
+    return found.filter("s >= 0")
+
+
+@query("SELECT doc_id, CASE WHEN n_doc % 3 = 0 THEN NULL ELSE n_doc % 3 = 1 AND sct IS NOT NULL END AS honoured FROM rec")
+def honoured_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = B.raw_mentions(spark, sf_dir)
+    result = lambda c: F.array(F.struct(c.alias("code"), F.lit("x").alias("label")))
+    found = F.when(F.col("n_doc") % 3 == 1, result(F.col("sct"))).when(F.col("n_doc") % 3 == 2, result(F.lit("7")))
+    return m.select("doc_id", X.honoured_tool(F.col("sct"), found).alias("honoured"))
+
+
+@query("SELECT doc_id, " + "CASE WHEN preferred IS NULL THEN 0.0 ELSE coalesce(len(list_intersect({0}, {1}))::DOUBLE / nullif(CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0 ELSE len(list_distinct(list_concat({0}, {1}))) END, 0), 0) END::DOUBLE AS overlap FROM en".format(*(f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z]+')), lambda w: w NOT IN ({', '.join(repr(x) for x in X.STOP_WORDS)}))" for c in ("text", "preferred"))))
+def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.enriched(spark, sf_dir).select("doc_id", X.lexical_overlap(F.col("text"), F.col("preferred")).alias("overlap"))
+
+
+# Scans
+
+
+@query(r"""SELECT doc_id, 'BLOCK' AS level, 'possible hardcoded credential' AS what FROM documents WHERE regexp_matches(text, '(?i)(api[_-]?key|secret|password|token)\s*[=:]\s*[''"][^''"]{12,}[''"]')""")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.table(spark, sf_dir, "documents").select("doc_id", F.explode(scan.issues(F.col("text"))).alias("x"))
+    return rows.select("doc_id", "x.level", "x.what").filter("what = 'possible hardcoded credential'")
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(text, 'L') THEN 'licence line first' ELSE 'short word first' END AS why FROM documents WHERE starts_with(text, 'L') OR starts_with(text, 'A ')")
+def forbidden_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = B.table(spark, sf_dir, "documents")
+    rules = [("L", "licence line first"), ("A ", "short word first")]
+    found = scan.forbidden(d.select(F.concat_ws("\x00", "text", F.col("doc_id").cast("string")).alias("path")), rules)
+    return found.select(F.element_at(F.split("path", "\x00"), -1).cast("long").alias("doc_id"), "why")
