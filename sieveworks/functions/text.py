@@ -138,7 +138,7 @@ def recover_offsets(span: Column, source: Column, claimed: Column) -> Column:
 
 def honoured_tool(code: Column, results: Column) -> Column:
     """Whether the emitted code is among the tool's results; null without results."""
-    return F.when(F.coalesce(F.size(results), F.lit(0)) <= 0, F.lit(None).cast("boolean")).otherwise(F.exists(results, lambda r: r["code"] == F.coalesce(code, F.lit("None"))))
+    return F.when(F.coalesce(F.size(results), F.lit(0)) <= 0, F.lit(None).cast("boolean")).otherwise(F.coalesce(F.exists(results, lambda r: r["code"] == F.coalesce(code, F.lit("None"))), F.lit(False)))
 
 
 def dollars(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:
