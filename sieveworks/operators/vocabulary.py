@@ -17,28 +17,37 @@ INTERNATIONAL = "900000000000207008"
 STATUSES = ("finding", "not_finding", "unknown")
 
 
-def closure(edges: DataFrame, root: str) -> DataFrame:
-    """The root and all below it: a frontier of children not seen before, until it is empty.
+def closures(edges: DataFrame, root: str) -> DataFrame:
+    """Rows (kind, id): for each kind of edge the root and all below it. edges: kind, parent, child.
 
-    Every round is materialised with checkpoint(), so a round never recomputes the ones before it and a lost executor
-    costs no more than its own tasks. Cycles and diamonds end, since nothing is visited twice.
+    A frontier of children not seen before, of all kinds at once, until it is empty. Every round is materialised with
+    checkpoint(), so a round never recomputes the ones before it and a lost executor costs no more than its own tasks.
+    Cycles and diamonds end, since nothing is visited twice.
     """
-    spark = edges.sparkSession
-    seen = frontier = spark.createDataFrame([(root,)], "id string")
-    edges = edges.select("parent", "child").distinct()
-    while True:
-        step = frontier.join(edges, frontier["id"] == edges["parent"]).select(F.col("child").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = step.checkpoint()
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier).checkpoint()
+    edges = edges.select("kind", F.col("parent").alias("id"), "child").distinct().checkpoint()
+    rounds = [edges.select("kind").distinct().withColumn("id", F.lit(root)).checkpoint()]
+    while not rounds[-1].isEmpty():
+        seen = rounds[0]
+        for r in rounds[1:]:
+            seen = seen.union(r)
+        step = rounds[-1].join(edges, ["kind", "id"]).select("kind", F.col("child").alias("id")).distinct()
+        rounds.append(step.join(seen, ["kind", "id"], "left_anti").checkpoint())
+    return seen.union(rounds[-1]) if len(rounds) > 1 else rounds[0]
+
+
+def closure(edges: DataFrame, root: str) -> DataFrame:
+    """The root and all below it, over parent, child."""
+    rows = closures(edges.select(F.lit("all").alias("kind"), "parent", "child"), root).select("id")
+    return rows.union(edges.sparkSession.createDataFrame([(root,)], "id string")).distinct()
 
 
 def with_findings(concepts: DataFrame, edges: DataFrame, root: str = FINDING_ROOT) -> DataFrame:
     """Concepts with is_finding (over active edges) and is_finding_hist (over all edges ever published)."""
-    now = closure(edges.filter("active"), root).select("id", F.lit(True).alias("now"))
-    ever = closure(edges, root).select("id", F.lit(True).alias("ever"))
-    return concepts.join(now, "id", "left").join(ever, "id", "left").withColumns({"is_finding": F.coalesce("now", F.lit(False)), "is_finding_hist": F.coalesce("ever", F.lit(False))}).drop("now", "ever")
+    kinds = F.when(F.col("active"), F.array(F.lit("now"), F.lit("ever"))).otherwise(F.array(F.lit("ever")))
+    found = closures(edges.select(F.explode(kinds).alias("kind"), "parent", "child"), root)
+    flags = found.groupBy("id").agg(F.max(F.col("kind") == "now").alias("now"), F.max(F.col("kind") == "ever").alias("ever"))
+    mine = lambda c: F.coalesce(c, F.lit(False)) | (F.col("id") == root)
+    return concepts.join(flags, "id", "left").withColumns({"is_finding": mine("now"), "is_finding_hist": mine("ever")}).drop("now", "ever")
 
 
 def finding_status(present: Column, active: Column, now: Column, ever: Column) -> Column:
