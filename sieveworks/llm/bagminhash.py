@@ -8,9 +8,11 @@ the earliest. Two documents agree in a register with probability equal to their
 Points are drawn only up to a time by which all registers are very likely filled; documents with an empty one go on.
 
 Candidates. Documents that agree in all registers of a band share its bucket; exact copies are one node. In each bucket
-members are compared with a leader, not with each other; where classes in a bucket still differ, other leaders follow,
-and then what pairs of different classes are left. Every compared pair is verified on the multisets themselves.
-Linked nodes form classes (connected components by large and small stars).
+members are first compared with one leader, not with each other. Where classes still differ in a bucket of three or
+more, its cluster (nodes joined by such buckets) is dealt out in blocks: a task gets two blocks and compares all their
+nodes at once, by a product of matrices, and returns classes, not pairs. Blocks whose nodes are in the cluster's largest
+class already are not compared with each other. Every comparison is of the multisets themselves, so the result is that
+of comparing all candidates. Linked nodes form classes (connected components by large and small stars).
 
 Defined results: a document without words is alone in its class, also if its text is null. One of fewer than `SHINGLE`
 words has one shingle, all its words. Rows with equal texts are in one class, whatever their ids. The class id is the
@@ -38,8 +40,10 @@ BANDS, ROWS = 20, 6
 REGISTERS = BANDS * ROWS
 #: Registers are all filled by the first horizon but in e**-PATIENCE of documents.
 PATIENCE = 6.0
-#: Rounds with one leader for each bucket, before the pairs that are left are compared.
-LEADER_ROUNDS = 3
+#: Nodes of a block; beyond CLUSTER nodes blocks are made of buckets, not of clusters.
+BLOCK, CLUSTER = 256, 50_000
+#: Shingles of a matrix at a time.
+_COLUMNS = 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,41 +199,111 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _overlaps(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Shared shingles, with multiplicity, of all pairs of multisets: those that two or more have, as a matrix times itself."""
+    features, rows = [], []
+    for i, (h, n) in enumerate(sets):
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        features.append(np.where(nth > 0, common.mix(np.repeat(h, n) + nth.astype(np.uint64) * _GOLD), np.repeat(h, n)))
+        rows.append(np.full(len(nth), i))
+    value, row = np.concatenate(features), np.concatenate(rows)
+    _, which, counts = np.unique(value, return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    keep = counts[which] > 1
+    column, row = number[which[keep]], row[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    edges = np.searchsorted(column, np.arange(0, int(number[-1]) + 1 + _COLUMNS, _COLUMNS)) if len(column) else []
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        dense = np.zeros((len(sets), _COLUMNS), np.float32)
+        dense[row[a:b], column[a:b] - k * _COLUMNS] = 1
+        out += dense @ dense.T
+    return out
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join the nodes which are connected within a tile of two blocks; rows come sorted by tile."""
+    engine = zstandard.ZstdDecompressor()
+
+    def linked(nodes: list[bytes], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+        sets = []
+        for w in words:
+            data = np.frombuffer(engine.decompress(w), np.uint8)
+            found, rows, *_ = shingles(data, np.array([0, len(data)]))
+            sets.append(multiset(found, rows)[1:])
+        size = np.array([int(n.sum()) for _, n in sets], np.float64)
+        both = _overlaps(sets)
+        near = both >= SIMILARITY * (size[:, None] + size[None, :] - both)
+        free, a, b = np.ones(len(nodes), bool), [], []
+        for i in range(len(nodes)):
+            if not free[i]:
+                continue
+            free[i], front = False, np.array([i])
+            while len(front):
+                front = np.flatnonzero(near[front].any(axis=0) & free)
+                free[front] = False
+                a += [nodes[i]] * len(front)
+                b += [nodes[j] for j in front]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    tile, nodes, words = None, [], []
+    for batch in batches:
+        for *where, node, text in zip(*(batch.column(c).to_pylist() for c in ("g", "p", "q", "node", "words")), strict=True):
+            if where != tile:
+                if len(nodes) > 1:
+                    yield from linked(nodes, words)
+                tile, nodes, words = where, [], []
+            nodes.append(node)
+            words.append(text)
+    if len(nodes) > 1:
+        yield from linked(nodes, words)
+
+
+def _tiles(members: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """Rows (g, p, q, node): nodes of clusters with several classes, dealt to pairs of blocks; None if there are none."""
+    rows = _labelled(members.select("band", "node"), labels)
+    mixed = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.min("node").alias("leader")).filter("x <> y and n > 2").select("band", "leader")
+    rows = common.cut(rows.join(mixed, "band"))
+    if rows.isEmpty():
+        return None
+    clusters = components(rows.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    rows = _labelled(rows.drop("leader").withColumnRenamed("label", "own"), clusters).withColumnRenamed("label", "cluster")
+    large = rows.select("cluster", "node").distinct().groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > CLUSTER).select("cluster", F.lit(True).alias("large"))
+    rows = rows.join(large, "cluster", "left")
+    rows = rows.select(F.when(F.col("large"), F.col("band").cast("string").cast("binary")).otherwise(F.col("cluster")).alias("g"), "node", "own").distinct()
+    counts = rows.groupBy("g", "own").agg(F.count("*").alias("n"))
+    main = counts.groupBy("g").agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all"))
+    rows = rows.join(main, "g")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    out, inside = F.greatest(blocks(F.col("all") - F.col("inside")), F.lit(1)), blocks(F.col("inside"))
+    rows = rows.withColumns({"n_out": out, "n_in": inside, "is_main": F.col("own") == F.col("main")})
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int")
+    rows = rows.withColumn("mine", F.when(F.col("is_main"), F.col("n_out") + mine).otherwise(mine))
+    # A block outside the main class meets all blocks; one inside meets those outside.
+    others = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("n_out") - 1).otherwise(F.col("n_out") + F.col("n_in") - 1))
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("g", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node")
+
+
 def near_classes(sketches: DataFrame) -> DataFrame | None:
-    """Rows (node, label) of nodes linked to others; None without any candidate. sketches: node, bands, words."""
+    """Rows (node, label) of nodes linked to others; None without any. sketches: node, bands, words."""
     rows = sketches.filter("bands is not null").select(F.explode("bands").alias("band"), "node")
     shared = rows.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").drop("last")
     members = common.cut(rows.join(shared, "band").select("band", "leader", "node").distinct())
     if members.isEmpty():
         return None
     words = common.cut(sketches.filter("words is not null").join(members.select("node").distinct(), "node").groupBy("node").agg(F.first("words").alias("words")))
-    labels, links, tested = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        open_ = _labelled(members.select("band", "node"), labels)
-        if turn:
-            mixed = open_.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader")).filter("x <> y").select("band", "leader")
-            open_ = open_.join(mixed, "band")
-            if turn < LEADER_ROUNDS:
-                own = _labelled(mixed.select("band", F.col("leader").alias("node")), labels).select("band", F.col("label").alias("own"))
-                pairs = open_.join(own, "band").filter("label <> own").select("leader", "node")
-            else:
-                pairs = open_.alias("x").join(open_.alias("y"), "band").filter("x.label < y.label").select(F.col("x.node").alias("leader"), F.col("y.node").alias("node"))
-        else:
-            pairs = members.filter("leader <> node").select("leader", "node")
-        pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.cut(pairs)
-        if pairs.isEmpty():
-            if turn in (0, LEADER_ROUNDS):
-                break
-            continue
-        both = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
-        found = common.cut(both.mapInArrow(_verify, "a binary, b binary"))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            labels = components(found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    pairs = members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    both = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
+    links = common.cut(both.mapInArrow(_verify, "a binary, b binary"))
+    labels = None if links.isEmpty() else components(links)
+    tiles = _tiles(members, labels)
+    if tiles is not None:
+        dealt = tiles.join(words, "node").repartition(common.partitions(sketches), "g", "p", "q").sortWithinPartitions("g", "p", "q", "node")
+        more = common.cut(dealt.mapInArrow(_compare_blocks, "a binary, b binary"))
+        if not more.isEmpty():
+            labels = components(more if labels is None else more.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     return labels
 
 
