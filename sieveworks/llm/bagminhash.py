@@ -317,7 +317,9 @@ def classes(docs: DataFrame) -> DataFrame:
     labelled = own.withColumn("label", F.col("node")) if labels is None else own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     with_words = labelled.filter("label is not null").join(heads, "label").select("doc_id", "class_id", "node")
-    return with_words.union(labelled.filter("label is null").select("doc_id", F.col("doc_id").alias("class_id"), "node"))
+    found = common.cut(with_words.union(labelled.filter("label is null").select("doc_id", F.col("doc_id").alias("class_id"), "node")))
+    common.remove(spark, path)
+    return found
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

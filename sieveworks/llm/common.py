@@ -51,6 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that new_path named, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(df: DataFrame) -> int:
     """How many partitions a shuffle in proportion to the input should have."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
