@@ -184,3 +184,15 @@ def mentions_of(raw: DataFrame) -> DataFrame:
 def parse_failed(raw: Column) -> Column:
     """Whether model output is no JSON object."""
     return F.try_parse_json(raw).isNull() | ~F.trim(raw).startswith("{")
+
+
+def prices(path: str, overrides: dict[str, dict[str, float]] | None = None) -> dict[str, dict[str, float]]:
+    """Prices for a million tokens in and out by model, of a JSON (or, where the library is there, YAML) file, with overrides."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        own = yaml.safe_load(text)
+    else:
+        own = json.loads(text)
+    return {m: {"in": 0.0, "out": 0.0} | own.get("models", own).get(m, {}) | (overrides or {}).get(m, {}) for m in {*own.get("models", own), *(overrides or {})}}
