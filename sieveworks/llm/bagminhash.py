@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .superkmer_dedup import _joined, _pack
+from .superkmer_dedup import _hashed, _joined, _pack
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two documents at similarity 0.8 share a band with probability 0.998, at 0.85 with 0.99994, at 0.3 with 0.015.
@@ -130,7 +130,7 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, node (128-bit hash of the words), bands and compressed words; a node's later rows in a block leave those out."""
+    """doc_id, hash of the text, node (128-bit hash of the words), bands and compressed words; a node's later rows in a block leave those out."""
     engine = zstandard.ZstdCompressor(level=3)
     for batch, data, at in common.blocks(batches):
         found, rows, s, e, row = shingles(data, at)
@@ -147,7 +147,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = band_hashes(signatures(number[r], h, w, int(fresh.sum()))).view(np.int64) if fresh.any() else np.zeros((0, BANDS), np.int64)
         own = iter(bands.tolist())
         yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"), "node": pa.array(nodes, pa.binary()), "bands": pa.array([next(own) if f else None for f in fresh], pa.list_(pa.int64())),
+            "doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "node": pa.array(nodes, pa.binary()), "bands": pa.array([next(own) if f else None for f in fresh], pa.list_(pa.int64())),
             "words": pa.array([engine.compress(x) if f else None for f, x in zip(fresh, words, strict=True)], pa.binary()),
         })
 
@@ -308,23 +308,23 @@ def near_classes(sketches: DataFrame) -> DataFrame | None:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id of every document, with its node."""
+    """doc_id, hash of the text and class_id of every document, with its node."""
     spark, path = docs.sparkSession, common.new_path(docs.sparkSession, "sketches")
-    common.documents(docs).mapInArrow(_sketch, "doc_id long, node binary, bands array<long>, words binary").write.parquet(path)
+    _hashed(common.documents(docs)).mapInArrow(_sketch, "doc_id long, hash int, node binary, bands array<long>, words binary").write.parquet(path)
     sketches = spark.read.parquet(path)
     labels = near_classes(sketches)
-    own = sketches.select("doc_id", "node")
+    own = sketches.select("doc_id", "hash", "node")
     labelled = own.withColumn("label", F.col("node")) if labels is None else own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    with_words = labelled.filter("label is not null").join(heads, "label").select("doc_id", "class_id", "node")
-    found = common.cut(with_words.union(labelled.filter("label is null").select("doc_id", F.col("doc_id").alias("class_id"), "node")))
+    with_words = labelled.filter("label is not null").join(heads, "label").select("doc_id", "hash", "class_id", "node")
+    found = common.cut(with_words.union(labelled.filter("label is null").select("doc_id", "hash", F.col("doc_id").alias("class_id"), "node")))
     common.remove(spark, path)
     return found
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Documents, one of each class: the one with the least doc_id (of rows with that doc_id, the first by text)."""
+    """Documents, of each class those with the least doc_id. Rows that repeat it all stay; rows without doc_id go if their class has one with it, else they stay."""
     docs = common.only(docs, **common.DOCUMENT_COLUMNS)
-    found = classes(docs)
-    gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = classes(docs).filter("class_id is not null and not (doc_id <=> class_id)").select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()
+    rows = _hashed(docs)
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti").select(*common.DOCUMENT_COLUMNS)

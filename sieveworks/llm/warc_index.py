@@ -52,9 +52,9 @@ def captures(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_digest"))
     own = rows.filter((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
     first = own.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("last > refers_to").drop("last")
-    again = own.join(first, "payload_digest").filter("page_id > refers_to").select("page_id", "refers_to").distinct()
+    again = own.join(first, "payload_digest").filter("page_id > refers_to").select(F.col("page_id").alias("again_id"), F.col("payload_digest").alias("again_digest"), "refers_to").distinct()
     # Only ids travel to find the revisits; payloads are dealt by page_id, which no hot payload or host can skew.
-    return rows.join(again.withColumnRenamed("page_id", "again_id"), F.col("page_id") == F.col("again_id"), "left").drop("again_id").withColumn(
+    return rows.join(again, (F.col("page_id") == F.col("again_id")) & (F.col("payload_digest") == F.col("again_digest")), "left").drop("again_id", "again_digest").withColumn(
         "captured", F.date_format(F.lit(FIRST_CAPTURE).cast("timestamp_ntz") + F.make_dt_interval(secs=F.coalesce("page_id", F.lit(0)) % 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     )
 

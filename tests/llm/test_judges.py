@@ -194,9 +194,9 @@ def test_archive_edges(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc_index.archive_and_index(empty).count() == 0
     same = "x" * 200
-    rows = spark.createDataFrame([(1, "u", same), (1, "u", same), (2, "u", same), (None, "u", same), (3, "u", "y" * 99), (4, "u", "y" * 99)], "page_id long, url string, html string")
+    rows = spark.createDataFrame([(1, "u", same), (1, "u", same), (2, "u", same), (None, "u", same), (3, "u", "y" * 99), (4, "u", "y" * 99), (2, "v", "z" * 200)], "page_id long, url string, html string")
     got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc_index.archive_and_index(rows).collect())
-    assert got == [("1", "response", None), ("1", "response", None), ("2", "revisit", 1), ("3", "response", None), ("4", "response", None), ("None", "response", None)]
+    assert got == [("1", "response", None), ("1", "response", None), ("2", "response", None), ("2", "revisit", 1), ("3", "response", None), ("4", "response", None), ("None", "response", None)]
 
 
 def test_a_damaged_archive_is_an_error():

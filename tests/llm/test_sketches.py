@@ -275,8 +275,8 @@ def test_class_edges(spark):
     same = " ".join(words_of(50, 3))
     got = bagminhash.classes(table(spark, [(None, same), (4, same), (4, same), (2, "other text")])).collect()
     assert sorted((r["doc_id"] or -1, r["class_id"]) for r in got) == [(-1, 4), (2, 2), (4, 4), (4, 4)]
-    kept = bagminhash.deduplicate(table(spark, [(1, same), (2, same + " more"), (3, "else"), (5, None), (6, None)])).collect()
-    assert sorted(r["doc_id"] for r in kept) == [1, 3, 5, 6] and list(kept[0].asDict()) == list(common.DOCUMENT_COLUMNS)
+    kept = bagminhash.deduplicate(table(spark, [(1, same), (2, same + " more"), (2, "another text"), (3, "else"), (3, "else"), (5, None), (6, None), (None, same), (None, "alone")])).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:7]) for r in kept) == [(0, "alone"), (1, same[:7]), (2, "another"), (3, "else"), (3, "else"), (5, ""), (6, "")] and list(kept[0].asDict()) == list(common.DOCUMENT_COLUMNS)
 
 
 def test_components(spark):
