@@ -11,7 +11,8 @@ of the input, all but one take the next attempt, until none collide. Only such e
 for all others the function alone gives the surrogate, so texts are not shuffled unless collisions outgrow a broadcast.
 
 Defined results: a null text stays null, an empty one empty. Rows that repeat, and equal mentions, get equal surrogates.
-Overlapping matches go to the kind first in KINDS. No rows give no rows; other columns are left out (`replace` keeps
+Overlapping matches go to the kind first in KINDS. A run of one symbol after "password:" and the like is an underline or a
+mask, no secret; other values without a letter or digit get drawn symbols. Where a format is used up, surrogates grow. No rows give no rows; other columns are left out (`replace` keeps
 those of documents). Texts are searched whole.
 """
 
@@ -31,7 +32,8 @@ from . import common
 #: A key of one's own keeps surrogates from being recomputed by others.
 KEY = "sieveworks surrogates"
 KINDS = ("email", "iban", "card", "secret", "ssn", "ip", "phone", "given", "family")
-MOST_ATTEMPTS = 200
+#: From this attempt on the format counts as used up, and each further attempt draws one more digit.
+WIDER_FROM = 32
 
 #: Name pools by script, and titles; surrogates beyond a pool are made of syllables of the script.
 GIVEN = {
@@ -64,6 +66,7 @@ _EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_=.\-]{6,})")
+_SYMBOLS = "+/_=.-"
 _CLOUD_KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
@@ -111,7 +114,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((*m.span(), "phone", digits[1:] if len(digits) == 11 and digits[0] == "1" else digits))
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
-            found.append((*m.span(1), "secret", m[1]))
+            if m[1][0] not in _SYMBOLS or len(set(m[1])) > 1:
+                found.append((*m.span(1), "secret", m[1]))
     if "AKIA" in text or "ASIA" in text:
         for m in _CLOUD_KEY.finditer(text):
             found.append((*m.span(), "secret", m[0]))
@@ -162,9 +166,11 @@ class _Draws:
         return found
 
     def shaped(self, text: str) -> str:
-        """Letters for letters, digits for digits; hexadecimal text stays hexadecimal."""
+        """Letters for letters, digits for digits; hexadecimal text stays hexadecimal. Without either, symbols for symbols."""
         body = re.sub(r"[^0-9A-Za-z]", "", text)
         hexadecimal = re.fullmatch(r"(?=.*\d)(?:[0-9a-f]{8,}|[0-9A-F]{8,})", body) and not body.isdigit()
+        if not body:
+            return "".join(_SYMBOLS[self.below(len(_SYMBOLS))] for _ in text)
         sets = {"l": "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"}
         out = []
         for c in text:
@@ -181,27 +187,28 @@ class _Draws:
 def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
     """The canonical form of the replacement."""
     draw = _Draws(key, kind, canonical, attempt)
+    wider = lambda: "".join(str(draw.below(10)) for _ in range(attempt - WIDER_FROM + 1))
     if kind == "email":
         local, _, domain = canonical.partition("@")
         labels = domain.split(".")
         own = domain if len(labels) > 1 and labels[-2] == "example" else ".".join([draw.shaped(x) for x in labels[:-1]] + ["example", "com"])
         return (draw.shaped(local) if re.search(r"[a-z0-9]", local) else "x") + "".join("abcdefghijklmnopqrstuvwxyz"[draw.below(26)] for _ in range(attempt // 4)) + "@" + own
     if kind == "card":
-        digits = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[1:])
+        digits = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[1:]) + wider()
         return next(x for d in "0123456789" if _luhn(x := digits[:-1] + d)) if _luhn(canonical) else digits
     if kind == "iban":
-        body = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw.below(26)] if c.isalpha() else str(draw.below(10)) for c in canonical[4:])
+        body = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw.below(26)] if c.isalpha() else str(draw.below(10)) for c in canonical[4:]) + wider()
         check = 98 - int("".join(str(int(c, 36)) for c in body + canonical[:2] + "00")) % 97
         return f"{canonical[:2]}{check:02d}{body}"
     if kind == "ssn":
-        return f"{900 + draw.below(100)}-{10 + draw.below(90)}-{draw.below(10000):04d}"
+        return f"{900 + draw.below(100)}-{10 + draw.below(90)}-{draw.below(10000):04d}{wider()}"
     if kind == "ip":
-        return f"{1 + draw.below(223)}.{draw.below(256)}.{draw.below(256)}.{1 + draw.below(254)}"
+        return f"{1 + draw.below(223)}.{draw.below(256)}.{draw.below(256)}.{1 + draw.below(254)}{wider()}"
     if kind == "phone":
         if len(canonical) == 10:
             middle = "555" if canonical[3:6] == "555" and attempt < 8 else f"{2 + draw.below(8)}{draw.below(100):02d}"
-            return f"{2 + draw.below(8)}{draw.below(100):02d}{middle}{draw.below(10000):04d}"
-        return canonical[:2] + "".join(str(draw.below(10)) for _ in canonical[2:])
+            return f"{2 + draw.below(8)}{draw.below(100):02d}{middle}{draw.below(10000):04d}{wider()}"
+        return canonical[:2] + "".join(str(draw.below(10)) for _ in canonical[2:]) + wider()
     if kind in ("given", "family"):
         name, _, gender = canonical.partition("/")
         script = script_of(name)
@@ -210,7 +217,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
             return pool[draw.below(len(pool))].lower()
         base = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + attempt // 8))
         return base + {("given", "f", "latin"): "na", ("given", "f", "cyrillic"): "на", ("given", "f", "greek"): "νη"}.get((kind, gender, script), "")
-    return canonical[:4] + draw.shaped(canonical[4:]) if re.fullmatch(r"A[KS]IA[0-9A-Z]{16}", canonical) else draw.shaped(canonical)
+    return (canonical[:4] + draw.shaped(canonical[4:]) if re.fullmatch(r"A[KS]IA[0-9A-Z]{16}", canonical) else draw.shaped(canonical)) + wider()
 
 
 def in_format(mention: str, kind: str, canonical: str, replacement: str) -> str:
@@ -218,9 +225,9 @@ def in_format(mention: str, kind: str, canonical: str, replacement: str) -> str:
     if kind in ("card", "phone", "iban"):
         slots = [i for i, c in enumerate(mention) if c.isdigit() or (kind == "iban" and c.isalpha())]
         out = list(mention)
-        for i, c in zip(reversed(slots), reversed(replacement), strict=False):
+        for i, c in zip(reversed(slots), reversed(replacement[: len(canonical)]), strict=False):
             out[i] = c
-        return "".join(out)
+        return "".join([*out, replacement[len(canonical) :]])
     if kind in ("given", "family"):
         return replacement.upper() if mention.isupper() and len(mention) > 1 else "-".join(x.capitalize() for x in replacement.split("-"))
     if kind == "email" and mention != canonical:
@@ -265,7 +272,7 @@ def collisions(found: DataFrame, key: str = KEY) -> DataFrame:
     own = common.cut(found.select("kind", "canonical").distinct())
     taken = own.select("kind", F.split_part("canonical", F.lit("/"), F.lit(1)).alias("made")).distinct().withColumn("taken", F.lit(True))
     state = own.withColumn("attempt", F.lit(0))
-    for _ in range(MOST_ATTEMPTS):
+    while True:  # ends, as the draws of those left grow with each round
         made = common.cut(state.mapInArrow(run, "kind string, canonical string, attempt int, made string"))
         first = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("n"))
         first = first.join(taken, ["kind", "made"], "left").filter("n > 1 or taken")
@@ -276,7 +283,6 @@ def collisions(found: DataFrame, key: str = KEY) -> DataFrame:
         if state.filter("again").isEmpty():
             return state.filter("attempt > 0").select("kind", "canonical", "attempt")
         state = state.drop("again")
-    raise ValueError(f"after {MOST_ATTEMPTS} attempts some entities still share a surrogate: the input holds about as many as the format allows")
 
 
 def _with_attempts(docs: DataFrame, key: str) -> DataFrame:

@@ -173,6 +173,23 @@ def test_the_key_matters():
 # Archives
 
 
+def test_values_without_letters_or_digits_do_not_stop_surrogates(spark):
+    underlines = ["Secret\n==========", "password: ........", "Token:\n------"]
+    texts = [*underlines, "password: +/=+/=.-", "password=hunter2x"]
+    got = [r["text"] for r in pii_surrogates.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[:3] == underlines and got[3] != texts[3] and re.fullmatch(r"password: [+/_=.-]{8}", got[3]) and re.fullmatch(r"password=[a-z]{6}\d[a-z]", got[4])
+
+
+def test_surrogates_grow_where_the_format_is_used_up(spark):
+    texts = [f"password: .....{i}" for i in range(10)]
+    got = [r["text"] for r in pii_surrogates.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert len(set(got)) == 10 and not set(got) & set(texts) and all(re.fullmatch(r"password: \.{5}\d{2,}", x) for x in got)
+    for kind, canonical, mention in [("card", "4111111111111111", "4111 1111 1111 1111"), ("iban", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"), ("phone", "12345678", "12-345-678"), ("phone", "5245555024", "+1 524-555-5024"), ("ssn", "123-45-6789", "123-45-6789"), ("ip", "10.0.0.1", "10.0.0.1")]:
+        made = pii_surrogates.surrogate(kind, canonical, pii_surrogates.WIDER_FROM + 2)
+        written = pii_surrogates.in_format(mention, kind, canonical, made)
+        assert re.sub(r"\W", "", written).endswith(re.sub(r"\W", "", made)) and (kind == "ip" or len(made) == len(canonical) + 3)
+
+
 def test_archive_equals_sql(spark):
     c = duckdb.connect()
     big, small = "<p>" + "same page " * 30, "tiny"
