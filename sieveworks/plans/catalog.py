@@ -696,6 +696,22 @@ def offset_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("s >= 0")
 
 
+@query()
+def offset_recovery_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents quote whole benchmark items, in any case; of several places the first. No word but an item's first and last can be part of a longer one, so a document meets an item by the item's second to fourth word in a row; items of fewer than five words meet all."""
+    words = lambda c: F.split(F.lower(c), r"\s+")
+    b = B.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).withColumn("n", F.size(words("needle")))
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 3), " ")))
+    keyed = b.filter("n >= 5").withColumn("gram", F.xxhash64(F.array_join(F.slice(words("needle"), 2, 3), " ")))
+    met = d.withColumn("w", words("text")).select("doc_id", F.explode(F.array_distinct(hashes)).alias("gram")).join(keyed.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
+    pairs = met.join(keyed.select("item_id", "needle"), "item_id").join(d, "doc_id").select("doc_id", "item_id", "needle", "text")
+    pairs = pairs.unionByName(d.crossJoin(b.filter("n < 5").select("item_id", "needle")).select(*pairs.columns))
+    rows = pairs.filter((F.instr("text", F.col("needle")) > 0) | (F.instr(F.lower("text"), F.lower("needle")) > 0))
+    at = rows.withColumn("at", X.recover_offsets(F.col("needle"), F.col("text"), F.lit(0)))
+    return at.select("doc_id", "item_id", "at.s", "at.e", "at.how").filter("s >= 0")
+
+
 @query("SELECT doc_id, CASE WHEN n_doc % 3 = 0 THEN NULL ELSE n_doc % 3 = 1 AND sct IS NOT NULL END AS honoured FROM rec")
 def honoured_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = B.raw_mentions(spark, sf_dir)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sieveworks import schema
 from sieveworks.functions import text as X
 from sieveworks.operators import alignment, curves, diagnosis, extraction, ledger, scan, splits, stages, vocabulary
+from sieveworks.plans import catalog
 from sieveworks.sources import readers, writers
 from sieveworks.streaming import ledger_stream
 
@@ -300,3 +301,17 @@ def test_text_scan(spark):
     assert got == [("a.py", "BLOCK"), ("b.ipynb", "WARN"), ("c.md", "BLOCK")]
     lines = spark.createDataFrame([("a==1",), ("b>=2",), ("# c",), ("",)], "line string")
     assert [r[0] for r in scan.unpinned(lines).collect()] == ["b>=2"]
+
+
+def put(spark, folder, name, rows, columns):
+    spark.createDataFrame(rows, columns).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_whole_items_are_found_in_any_case(spark, tmp_path):
+    item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron."
+    docs = [(1, f"so {item} and {item}"), (2, f"x {item.upper()}"), (3, item[:70] + " other words"), (4, "none"), (5, f"pre{item}post"), (6, "a SHORT Item here"), (7, None)]
+    put(spark, tmp_path, "documents", docs, "doc_id long, text string")
+    put(spark, tmp_path, "benchmark", [(1, item), (2, "short item")], "item_id long, text string")
+    got = sorted(tuple(r) for r in catalog.offset_recovery_whole(spark, str(tmp_path)).collect())
+    n = len(item)
+    assert got == [(1, 1, 3, 3 + n, "search_nearest_of_2"), (2, 1, 2, 2 + n, "search_case_insensitive"), (5, 1, 3, 3 + n, "search_unique"), (6, 2, 2, 12, "search_case_insensitive")]
