@@ -19,12 +19,10 @@ TELLS = (
     r"(?i)\b(gp|doctor) (started|put) me on\b",
     r"(?i)\bstopped taking (it|them) after \d+ days\b",
 )
-LONGEST = 400_000
 
 
 def issues(text: Column, notebook: Column | None = None) -> Column:
-    """Array of struct(level, what). Of longer texts the first 400,000 characters count: that is the rule scanned for."""
-    text = F.substring(text, 1, LONGEST)
+    """Array of struct(level, what), of whole texts."""
     found = [F.when(text.rlike(p), F.struct(F.lit("BLOCK").alias("level"), F.lit(f"possible {what}").alias("what"))) for what, p in SECRETS.items()]
     hits = sum((text.rlike(p).cast("int") for p in TELLS), F.lit(0))
     found.append(F.when(hits >= 2, F.struct(F.lit("BLOCK").alias("level"), F.lit("reads like licensed text").alias("what"))).when(hits == 1, F.struct(F.lit("WARN").alias("level"), F.lit("one phrase of licensed text").alias("what"))))

@@ -734,6 +734,20 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "x.level", "x.what").filter("what = 'possible hardcoded credential'")
 
 
+_KEYS = [("service key", "sk-[A-Za-z0-9_-]{20,}"), ("cloud key", "AIza[0-9A-Za-z_-]{30,}"), ("model key", "sk-ant-[A-Za-z0-9_-]{20,}"), ("repository token", "ghp_[A-Za-z0-9]{30,}"), ("hardcoded credential", r"(?i)(api[_-]?key|secret|password|token)\s*[=:]\s*[''\"][^''\"]{12,}[''\"]")]
+_TOLD = [r"(?i)askapatient", r"(?i)\bI''ve been on \w+ \d+ for (over |about )?\d+ (years|months)", r"(?i)\b(gp|doctor) (started|put) me on\b", r"(?i)\bstopped taking (it|them) after \d+ days\b"]
+
+
+@query(
+    " UNION ALL ".join(f"SELECT doc_id, 'BLOCK' AS level, 'possible {what}' AS what FROM documents WHERE regexp_matches(text, '{p}')" for what, p in _KEYS)
+    + " UNION ALL SELECT doc_id, CASE WHEN n > 1 THEN 'BLOCK' ELSE 'WARN' END, CASE WHEN n > 1 THEN 'reads like licensed text' ELSE 'one phrase of licensed text' END FROM (SELECT doc_id, " + " + ".join(f"regexp_matches(text, '{p}')::INT" for p in _TOLD) + " AS n FROM documents) WHERE n > 0"
+)
+def secret_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All issues of whole texts: every kind of credential, and the tells of licensed texts."""
+    rows = B.table(spark, sf_dir, "documents").select("doc_id", F.explode(scan.issues(F.col("text"))).alias("x"))
+    return rows.select("doc_id", "x.level", "x.what")
+
+
 @query("SELECT doc_id, CASE WHEN starts_with(text, 'L') THEN 'licence line first' ELSE 'short word first' END AS why FROM documents WHERE starts_with(text, 'L') OR starts_with(text, 'A ')")
 def forbidden_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.table(spark, sf_dir, "documents")

@@ -315,3 +315,15 @@ def test_whole_items_are_found_in_any_case(spark, tmp_path):
     got = sorted(tuple(r) for r in catalog.offset_recovery_whole(spark, str(tmp_path)).collect())
     n = len(item)
     assert got == [(1, 1, 3, 3 + n, "search_nearest_of_2"), (2, 1, 2, 2 + n, "search_case_insensitive"), (5, 1, 3, 3 + n, "search_unique"), (6, 2, 2, 12, "search_case_insensitive")]
+
+
+def test_all_issues_of_whole_texts(spark, tmp_path):
+    far = "x" * 400_001
+    docs = [(1, "sk-" + "a" * 24), (2, "AIza" + "b" * 32), (3, far + " ghp_" + "c" * 32), (4, far + " password = 'abcdefghijklm'"), (5, "seen on askapatient"), (6, "The doctor put me on it, I stopped taking it after 3 days"), (7, "clean"), (8, None)]
+    put(spark, tmp_path, "documents", docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in catalog.secret_scan_whole(spark, str(tmp_path)).collect())
+    assert got == [
+        (1, "BLOCK", "possible service key"), (2, "BLOCK", "possible cloud key"), (3, "BLOCK", "possible repository token"), (4, "BLOCK", "possible hardcoded credential"),
+        (5, "WARN", "one phrase of licensed text"), (6, "BLOCK", "reads like licensed text"),
+    ]
+    assert [r["doc_id"] for r in catalog.secret_scan(spark, str(tmp_path)).collect()] == [4]
