@@ -113,3 +113,16 @@ def sweep(pred: DataFrame, gold: DataFrame, thresholds: list[float]) -> Iterator
     """Scores at each threshold."""
     for t in thresholds:
         yield t, score(pred, gold, align(pred, gold, t))
+
+
+def sweep_table(pred: DataFrame, gold: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The scores of `sweep` with a column threshold, in one plan: pairs are found once, and each threshold matches its own."""
+    levels = pred.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
+    pairs = candidates(pred, gold, min(thresholds)).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter("iou >= threshold")
+    # A document at a threshold is matched like a document of its own.
+    own = pairs.select(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "threshold").alias("doc_id"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "iou")
+    matched = greedy(own).select("doc_id.doc_id", "doc_id.threshold", "i", "j", "iou")
+    some = score(pred, gold, matched, ["threshold"])
+    names = [c for c in some.columns if c != "threshold"]
+    none = score(pred, gold, matched.limit(0)).select(*(F.col(c).alias(f"none_{c}") for c in names))  # for thresholds that match nothing
+    return levels.join(F.broadcast(none)).join(some, "threshold", "left").select("threshold", *(F.coalesce(c, f"none_{c}").alias(c) for c in names))

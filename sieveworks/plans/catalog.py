@@ -484,6 +484,12 @@ def theta_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("threshold").agg(F.count("*").alias("matched"), F.count_if(right).alias("code_correct"))
 
 
+@query()
+def theta_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, aligned and scored at each threshold."""
+    return alignment.sweep_table(B.predicted_mentions(spark, sf_dir), B.gold_mentions(spark, sf_dir), [t / 10 for t in range(1, 10)])
+
+
 # Splits
 
 

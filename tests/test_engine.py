@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sieveworks import schema
 from sieveworks.functions import text as X
 from sieveworks.operators import alignment, curves, diagnosis, extraction, ledger, scan, splits, stages, vocabulary
-from sieveworks.plans import catalog
+from sieveworks.plans import bindings, catalog
 from sieveworks.sources import readers, writers
 from sieveworks.streaming import ledger_stream
 
@@ -317,6 +317,37 @@ def test_whole_items_are_found_in_any_case(spark, tmp_path):
     assert got == [(1, 1, 3, 3 + n, "search_nearest_of_2"), (2, 1, 2, 2 + n, "search_case_insensitive"), (5, 1, 3, 3 + n, "search_unique"), (6, 2, 2, 12, "search_case_insensitive")]
 
 
+def test_sweep_scores_all_documents(spark):
+    folder = "/root/testdata/sf0.001"
+    pred, gold = ([r.asDict() for r in f(spark, folder).collect()] for f in (bindings.predicted_mentions, bindings.gold_mentions))
+    spots = lambda r: {x for f in r["fragments"] for x in range(f["s"], f["e"])}
+    got = {r["threshold"]: r for r in catalog.theta_sweep_whole(spark, folder).collect()}
+    assert sorted(got) == [t / 10 for t in range(1, 10)]
+    for threshold, row in got.items():
+        matched = right = 0
+        for doc in {r["doc_id"] for r in pred}:
+            pairs = []
+            for p in (r for r in pred if r["doc_id"] == doc):
+                for g in (r for r in gold if r["doc_id"] == doc):
+                    iou = len(spots(p) & spots(g)) / len(spots(p) | spots(g))
+                    pairs += [(-iou, p["i"], g["j"], p, g)] if iou >= threshold else []
+            used_p, used_g = set(), set()
+            for _, i, j, p, g in sorted(pairs, key=lambda x: x[:3]):
+                if i not in used_p and j not in used_g:
+                    used_p.add(i), used_g.add(j)
+                    matched += 1
+                    right += bool(g["sct"]) and g["gold_kind"] in schema.GRADABLE_KINDS and (p["code"] or "") in g["sct"]
+        assert (row["span_matched"], row["code_correct"], row["n_pred"], row["n_gold"]) == (matched, right, len(pred), len(gold))
+
+
+def test_sweep_gives_thresholds_that_match_nothing(spark):
+    span = "doc_id string, {} int, fragments array<struct<s:int,e:int>>, {}"
+    pred = spark.createDataFrame([("D", 0, [(0, 4)], "1")], span.format("i", "code string"))
+    gold = spark.createDataFrame([("D", 0, [(0, 8)], ["1"], "single")], span.format("j", "sct array<string>, gold_kind string"))
+    got = [(r["threshold"], r["span_matched"], r["n_pred"], r["missed"]) for r in alignment.sweep_table(pred, gold, [0.5, 0.6]).orderBy("threshold").collect()]
+    assert got == [(0.5, 1, 1, 0), (0.6, 0, 1, 1)]
+
+
 def test_all_issues_of_whole_texts(spark, tmp_path):
     far = "x" * 400_001
     docs = [(1, "sk-" + "a" * 24), (2, "AIza" + "b" * 32), (3, far + " ghp_" + "c" * 32), (4, far + " password = 'abcdefghijklm'"), (5, "seen on askapatient"), (6, "The doctor put me on it, I stopped taking it after 3 days"), (7, "clean"), (8, None)]
