@@ -1,33 +1,40 @@
-"""Byte-level BPE by Spark's higher-order functions alone: encoding of distinct words, and decoding.
+"""Byte-level BPE: ranked merges folded over the byte arrays of distinct words, and decoding.
 
-Texts are split by the vocabulary's pattern. A word that is a token is that token; any other one starts as the ids of
-its bytes, and the pair of neighbouring pieces that makes the token of least rank (the leftmost one on ties) is merged
-until no pair makes a token. The fold keeps the ranks of all neighbouring pairs in an array, so that a merge looks up
-two ranks only. The rank map is literal: which pairs of tokens make which token, dealt into short buckets.
+Texts are split by the vocabulary's pattern, in the JVM. A word that is a token is that token; any other one starts as
+the ids of its bytes, and the pair of neighbouring pieces that makes the token of least rank (the leftmost one on ties)
+is merged until no pair makes a token. Decoding puts the pieces of ids end to end.
 
-Frequent distinct words are encoded once, into a second literal map, and every document looks them up; other words are
-encoded where they occur. That map is a bounded cache (`TABLE_WORDS` words of at most `TABLE_WORD_BYTES` bytes, the most
-frequent ones of `TABLE_SHARE` of the documents): which words it holds changes no result.
+There are two forms with equal results. `encode_native` is higher-order functions alone: distinct words of all documents
+are folded once, over a literal rank map, and joined back. It shuffles every word of every text and interprets each
+step, so it suits small inputs. `encode`, which the query runs, folds the distinct words of a block of text at once, a
+merge of every word a step, in numpy: no shuffle, memory bounded by the block.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes. Rows that repeat get equal results, a null
-doc_id stays null, no rows give no rows, and other columns are left out. Words of any length are encoded whole.
+doc_id stays null, no rows give no rows, and other columns are left out. Words of any length are encoded whole; long
+ones by a queue of merges, so that time stays in proportion to their length (but for a logarithm).
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
 import json
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Buckets of the literal maps (powers of two); they hold a few keys each.
-PAIR_BUCKETS, TABLE_BUCKETS = 1 << 15, 1 << 16
-TABLE_WORDS, TABLE_WORD_BYTES, TABLE_SHARE = 150_000, 64, 1 / 8
+#: Buckets of the literal map (a power of two); they hold a few keys each.
+PAIR_BUCKETS = 1 << 15
+#: Bytes from which a word is folded on its own.
+LONG_WORD = 256
 _NONE, _EDGE, _REST = 2**31 - 1, 0xFFFF, 2**30
 
 
@@ -42,6 +49,164 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def words_of(text: Column, pattern: str) -> Column:
+    """The texts that the pattern matches, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), 0)
+
+
+def _pairs(ranks: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
+    """Pairs of tokens, and the token that they make."""
+    if len(ranks) >= _EDGE or any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("a rank file needs all single bytes and fewer than 65,535 tokens")
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                yield a, b, rank
+
+
+# Blocks of distinct words
+
+
+class Merges:
+    """The rank map of one rank file in arrays; ids are ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = np.array(sorted((a << 16 | b, r) for a, b, r in _pairs(ranks)), np.int64)
+        self.keys, self.values = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32)
+        self.own = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.of_bytes = self.made(np.repeat(self.own, 256), np.tile(self.own, 256))
+        self.tokens = pa.array(list(ranks), pa.binary())
+        self.token_ids = np.array(list(ranks.values()), np.int32)
+
+    def made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the token that two tokens make; a number above all ranks if they make none."""
+        key = a.astype(np.int64) << 16 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], _NONE).astype(np.int32)
+
+    def fold(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words data[at[i]:at[i+1]] (none empty) end to end, and their numbers: in each step every word merges its pair of least rank."""
+        n, size = len(at) - 1, np.diff(at)
+        word = np.repeat(np.arange(n), size)
+        x, r = self.own[data], np.full(len(data), _NONE, np.int32)
+        r[:-1] = self.of_bytes[data[:-1].astype(np.int64) << 8 | data[1:]]
+        r[at[1:] - 1] = _NONE
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(x):
+            start = np.cumsum(size) - size
+            least = np.minimum.reduceat(r, start)
+            live = least < _NONE
+            if not live.all():
+                over = np.repeat(~live, size)
+                ended.append((word[over], x[over]))
+                word, x, r, size, least = word[~over], x[~over], r[~over], size[live], least[live]
+                if not len(x):
+                    break
+                start = np.cumsum(size) - size
+            hits = np.flatnonzero(r == np.repeat(least, size))
+            p = hits[np.concatenate([[True], word[hits[1:]] != word[hits[:-1]]])]
+            x[p] = least
+            left, last = p > start, start + size - 1
+            r[p[left] - 1] = self.made(x[p[left] - 1], least[left])
+            right = p + 1 < last
+            r[p] = _NONE
+            r[p[right]] = self.made(least[right], x[p[right] + 2])
+            keep = np.ones(len(x), bool)
+            keep[p + 1] = False
+            word, x, r, size = word[keep], x[keep], r[keep], size - 1
+        word, x = (np.concatenate(c) for c in zip(*ended, strict=True)) if ended else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return x[np.argsort(word, kind="stable")], np.bincount(word, minlength=n)
+
+    def fold_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word, by a queue of the pairs."""
+        made = dict(zip(self.keys.tolist(), self.values.tolist(), strict=True))
+        x = self.own[np.frombuffer(word, np.uint8)].tolist()
+        after, before = list(range(1, len(x) + 1)), list(range(-1, len(x) - 1))
+        queue = [(made[k], i, x[i], x[i + 1]) for i in range(len(x) - 1) if (k := x[i] << 16 | x[i + 1]) in made]
+        heapq.heapify(queue)
+        while queue:
+            rank, i, a, b = heapq.heappop(queue)
+            j = after[i]
+            if x[i] != a or j >= len(x) or x[j] != b:  # one of the two has merged since
+                continue
+            x[i], x[j], after[i] = rank, -1, after[j]
+            if after[j] < len(x):
+                before[after[j]] = i
+                if (k := rank << 16 | x[after[j]]) in made:
+                    heapq.heappush(queue, (made[k], i, rank, x[after[j]]))
+            if before[i] >= 0 and (k := x[before[i]] << 16 | rank) in made:
+                heapq.heappush(queue, (made[k], before[i], x[before[i]], rank))
+        return np.array([i for i in x if i >= 0], np.int32)
+
+    def encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and their numbers."""
+        words = words.cast(pa.binary())
+        whole = pc.index_in(words, value_set=self.tokens)
+        token = whole.fill_null(-1).to_numpy()
+        size = pc.binary_length(words).to_numpy()
+        numbers = (token >= 0).astype(np.int64)
+        short, long = np.flatnonzero((token < 0) & (size < LONG_WORD) & (size > 0)), np.flatnonzero((token < 0) & (size >= LONG_WORD))
+        data, at = common.flat(words.take(pa.array(short)))
+        ids, numbers[short] = self.fold(data[at[0] : at[-1]], at - at[0])
+        single = [self.fold_long(words[i].as_py()) for i in long.tolist()]
+        numbers[long] = [len(x) for x in single]
+        out = np.empty(int(numbers.sum()), np.int32)
+        begin = np.cumsum(numbers) - numbers
+        out[begin[token >= 0]] = self.token_ids[token[token >= 0]]
+        out[common.run_index(begin[short], numbers[short])] = ids
+        for i, x in zip(long.tolist(), single, strict=True):
+            out[begin[i] : begin[i] + len(x)] = x
+        return out, numbers
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id and ids of every document."""
+    merges: list[Merges] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not merges:
+            merges.append(Merges(ranks))
+        for batch in batches:
+            lists = batch.column("words")
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            words = lists.flatten().dictionary_encode()
+            ids, numbers = merges[0].encoded(words.dictionary)
+            which = words.indices.to_numpy()
+            own, begin = numbers[which], np.cumsum(numbers) - numbers
+            at = np.concatenate([[0], np.cumsum(own)])[ends]
+            found = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids[common.run_index(begin[which], own)], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["doc_id", "ids"])
+
+    return common.documents(docs).select("doc_id", words_of(F.col("text"), pattern).alias("words")).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id, the number of ids, and the sha256 of the ids and of the decoded bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            pieces[rank] = token
+        names, pieces = pa.array([str(i) for i in range(len(pieces))], pa.binary()), pa.array(pieces, pa.binary())
+
+        def joined(lists: pa.ListArray, of: pa.Array, mark: bytes) -> list[str]:
+            whole = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, of.take(lists.values)), mark)
+            return [hashlib.sha256(x.as_buffer()).hexdigest() for x in whole]
+
+        for batch in batches:
+            lists = batch.column("ids")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pc.list_value_length(lists).cast(pa.int64()), pa.array(joined(lists, names, b" "), pa.string()), pa.array(joined(lists, pieces, b""), pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+# Higher-order functions
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with the value computed once."""
     return F.get(F.transform(F.array(value), then), 0)
@@ -61,19 +226,13 @@ class Vocabulary:
     """Literal maps for one rank file of at most 65,535 tokens with all single bytes among them; ids are ranks."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        if len(ranks) >= _EDGE or any(bytes([b]) not in ranks for b in range(256)):
-            raise ValueError("a rank file needs all single bytes and fewer than 65,535 tokens")
-        self.ranks = ranks
         keys: list[list[int]] = [[] for _ in range(PAIR_BUCKETS)]
         values: list[list[int]] = [[] for _ in range(PAIR_BUCKETS)]
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                a, b = ranks.get(token[:i]), ranks.get(token[i:])
-                if a is not None and b is not None:
-                    at = (a * 31 + b) & (PAIR_BUCKETS - 1)
-                    packed = (a << 16 | b) & 0xFFFFFFFF
-                    keys[at].append(packed - (1 << 32) if packed >= 1 << 31 else packed)
-                    values[at].append(rank)
+        for a, b, rank in _pairs(ranks):
+            at = (a * 31 + b) & (PAIR_BUCKETS - 1)
+            packed = (a << 16 | b) & 0xFFFFFFFF
+            keys[at].append(packed - (1 << 32) if packed >= 1 << 31 else packed)
+            values[at].append(rank)
         sums = [zlib.crc32(bytes([b])) for b in range(256)]
         self.modulus = next(m for m in range(256, 1 << 17) if len({x % m for x in sums}) == 256)
         own = [0] * self.modulus
@@ -116,58 +275,22 @@ class Vocabulary:
         return let(self.pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
 
 
-def words_of(text: Column, pattern: str) -> Column:
-    """The texts that the pattern matches, in order."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), 0)
-
-
-def _bucket(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(TABLE_BUCKETS - 1)
-
-
-def frequent_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str, words: int = TABLE_WORDS) -> DataFrame:
-    """Words of the sampled documents that occur in most of them, at most `words`, with ids and bucket."""
-    chosen = common.documents(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(TABLE_SHARE * (1 << 20)))
-    found = chosen.select(F.explode(F.array_distinct(words_of(F.col("text"), pattern))).alias("word"))
-    kept = found.filter(F.octet_length("word") <= TABLE_WORD_BYTES).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(words)
-    raw = F.col("word").cast("binary")
-    return kept.repartition(common.partitions(docs), "word").select("word", let(vocabulary.maps, lambda m: vocabulary.merged(m, raw)).alias("ids"), _bucket(F.col("word")).alias("bucket"))
-
-
-def _whole_tokens(spark: SparkSession, ranks: dict[bytes, int]) -> list:
-    """The tokens that are text, with ids and bucket."""
-    rows = []
-    for token, rank in ranks.items():
-        try:
-            rows.append((token.decode("utf-8"), [rank]))
-        except UnicodeDecodeError:  # a part of a character is never a whole word
-            continue
-    return spark.createDataFrame(rows, "word string, ids array<int>").withColumn("bucket", _bucket(F.col("word"))).collect()
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id and ids of every document."""
-    vocabulary = Vocabulary(ranks)
-    known = {r["word"]: r for r in frequent_words(docs, vocabulary, pattern).collect()}  # bounded by TABLE_WORDS
-    known |= {r["word"]: r for r in _whole_tokens(docs.sparkSession, ranks)}
-    keys: list[list[str]] = [[] for _ in range(TABLE_BUCKETS)]
-    values: list[list[list[int]]] = [[] for _ in range(TABLE_BUCKETS)]
-    for word, r in known.items():
-        keys[r["bucket"]].append(word)
-        values[r["bucket"]].append(r["ids"])
-    table = F.struct(_literal(keys, "array<array<string>>").alias("keys"), _literal(values, "array<array<array<int>>>").alias("values"))
-
-    def ids(text: Column, maps: Column, table: Column) -> Column:
-        one = lambda w: F.coalesce(_looked_up(table["keys"], table["values"], _bucket(w), w), vocabulary.merged(maps, w.cast("binary")))
-        return F.flatten(F.transform(words_of(text, pattern), one))
-
-    return common.documents(docs).select("doc_id", let(table, lambda t: let(vocabulary.maps, lambda m: ids(F.col("text"), m, t))).alias("ids"))
-
-
-def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, the number of ids, and the sha256 of the ids and of the decoded bytes."""
+def encode_native(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """encode by higher-order functions alone: every distinct word is folded once."""
     vocabulary = Vocabulary(ranks)
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(vocabulary.decoded(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    rows = common.documents(docs).withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = rows.dropDuplicates(["doc_id", "hash"]).select("doc_id", "hash", F.posexplode(words_of(F.col("text"), pattern)).alias("place", "word"))
+    listed = _literal([{"t": t.hex(), "r": r} for t, r in ranks.items()], "array<struct<t:string,r:int>>")
+    tokens = docs.sparkSession.range(1).select(F.inline(listed)).select(F.unhex("t").alias("token"), F.col("r").alias("rank"))
+    folded = let(vocabulary.maps, lambda m: vocabulary.merged(m, F.col("word").cast("binary")))
+    words = found.select("word").distinct().join(tokens, F.col("word").cast("binary") == F.col("token"), "left")
+    words = words.select("word", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(folded).alias("ids"))
+    each = found.join(words, "word").groupBy("doc_id", "hash").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
+    each = each.select(F.col("doc_id").alias("key"), F.col("hash").alias("key_hash"), F.flatten("parts.ids").alias("ids"))
+    joined = rows.join(each, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("hash") == F.col("key_hash")), "left")
+    return joined.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
+def decoded_native(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id and the decoded bytes, by higher-order functions alone."""
+    return encoded.select("doc_id", Vocabulary(ranks).decoded(F.col("ids")).alias("decoded"))

@@ -6,6 +6,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sieveworks.llm import byte_bpe, common, mpegts, packing
@@ -81,33 +83,62 @@ def ranks():
     return byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
 
 
-def test_bpe_is_the_library_s(spark, ranks):
+def library(ranks):
     import tiktoken
 
-    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def odd_texts():
     rng = random.Random(4)
-    texts = ODD + [" ".join("".join(rng.choice("abcdeéñß'1 ") for _ in range(rng.randint(1, 14))) for _ in range(60)) for _ in range(12)] + ["same words again"] * 3
-    df = spark.createDataFrame([(i, t, "m", "en", "z") for i, t in enumerate(texts)], DOC)
+    made = [" ".join("".join(rng.choice("abcdeéñß'1 ") for _ in range(rng.randint(1, 14))) for _ in range(60)) for _ in range(12)]
+    return ODD + made + ["same words again"] * 3 + ["ab" * 700 + " " + "é" * 400, "x" * 255 + " " + "x" * 256 + " " + "ab" * 128]
+
+
+def test_bpe_is_the_library_s(spark, ranks):
+    own, texts = library(ranks), odd_texts()
+    df = spark.createDataFrame([(i, t, "m", "en", "z") for i, t in enumerate(texts)] + [(None, "no id", "m", "en", "z")], DOC)
     encoded = byte_bpe.encode(df, ranks, P.PATTERN)
     ids = {r["doc_id"]: r["ids"] for r in encoded.collect()}
     digests = {r["doc_id"]: r for r in byte_bpe.digests(encoded, ranks).collect()}
-    for i, t in enumerate(texts):
+    for i, t in [*enumerate(texts), (None, "no id")]:
         want = own.encode_ordinary(t or "")
         assert ids[i] == want, t
         d = digests[i]
         assert (d["n_tokens"], d["ids_sha256"], d["decoded_sha256"]) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
 
 
-def test_bpe_runs_no_python(spark, ranks):
+def test_merges_of_random_words(ranks):
+    rng, own, merges = random.Random(5), library(ranks), byte_bpe.Merges(ranks)
+    words = sorted({"".join(rng.choice(x) for _ in range(rng.randint(1, 40))) for x in ("ab", "aeiounrst", "abcéßñ語", "THEthe ") for _ in range(400)})
+    found, numbers = merges.encoded(pa.array(words))
+    at = np.concatenate([[0], np.cumsum(numbers)])
+    for i, w in enumerate(words):
+        want = own._core_bpe.encode_single_piece(w.encode())
+        assert found[at[i] : at[i + 1]].tolist() == want
+        assert w.encode() in ranks or merges.fold_long(w.encode()).tolist() == want
+
+
+def test_native_bpe_is_the_same(spark, ranks):
+    texts = [t for t in odd_texts() if len(t or "") < 400]
+    df = spark.createDataFrame([(i, t, "m", "en", "z") for i, t in enumerate(texts)] + [(None, "no id", "m", "en", "z")], DOC)
+    both = [{r["doc_id"]: r["ids"] for r in f(df, ranks, P.PATTERN).collect()} for f in (byte_bpe.encode, byte_bpe.encode_native)]
+    assert both[0] == both[1]
+    decoded = {r["doc_id"]: bytes(r["decoded"]) for r in byte_bpe.decoded_native(byte_bpe.encode(df, ranks, P.PATTERN), ranks).collect()}
+    assert decoded == {i: (t or "").encode() for i, t in enumerate(texts)} | {None: b"no id"}
+
+
+def test_native_bpe_runs_no_python(spark, ranks):
     docs = common.read_table(spark, "/root/testdata/sf0.001", "documents").limit(5)
-    plan = byte_bpe.digests(byte_bpe.encode(docs, ranks, P.PATTERN), ranks)._jdf.queryExecution().executedPlan().toString()
+    plan = byte_bpe.decoded_native(byte_bpe.encode_native(docs, ranks, P.PATTERN), ranks)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("EvalPython|MapInArrow|MapInPandas|PythonUDF|Scan ExistingRDD", plan)
 
 
 def test_bpe_of_nothing(spark, ranks):
     assert byte_bpe.encode(table(spark, []), ranks, P.PATTERN).count() == 0
+    assert byte_bpe.digests(byte_bpe.encode(table(spark, []), ranks, P.PATTERN), ranks).count() == 0
     with pytest.raises(ValueError):
-        byte_bpe.Vocabulary({b"a": 0})
+        byte_bpe.Merges({b"a": 0})
 
 
 # Packing
