@@ -15,15 +15,25 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 #: Text bytes that a Python worker turns into flat arrays at a time.
 BLOCK_BYTES = 4 << 20
+#: Bytes of a batch that goes to a Python worker: rows alone would not bound it, as texts may be long.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Has the session cut batches for Python workers by bytes; a smaller bound of the user's own stays."""
+    if int(spark.conf.get(_BATCH_CONF, str(64 << 20)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns, cast; other columns (whatever their names) go. A missing column is null."""
     there = set(df.columns)
+    bound_batches(df.sparkSession)
     return df.select(*[(F.col(f"`{c}`") if c in there else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
 
 

@@ -10,6 +10,12 @@ known to be repeated at once and stays behind. So a window travels at most once
 are, and no bucket gets more of a hot passage than there are blocks. Hashes only bring candidates together: the words
 are compared byte by byte. Strings are shuffled compressed, texts once, for the removal.
 
+A bucket is never held whole. Its task deals it to parts by other bits of the minimiser, on the task's own scratch file
+once they outgrow HELD bytes, and sorts part by part. A part of more than SORTED bytes (a hot minimiser) is dealt on by
+bits of the windows' hashes, which equal windows share, level by level; what no bits can part is one window, met many
+times, and read twice as a stream: for its first place, then for the others. So a task's memory is bounded, whatever the
+input and its skew.
+
 Defined results: a null or empty text has no words; documents of fewer than `WINDOW` words keep all. A null doc_id comes
 after all others. Rows with equal doc_id and text are one document, and each of them gets its result; rows with equal
 doc_id and different texts are different documents, in the order of a hash of the text. No rows give no rows; other
@@ -19,7 +25,8 @@ columns are left out (`deduplicate` keeps those of documents).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +37,18 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, MINIMISER = 20, 3
-#: Buckets for each shuffle partition; a partition's buckets are handled one after the other.
-BUCKETS_PER_PARTITION = 4
+#: Text bytes packed at a time.
+BLOCK_BYTES = 2 << 20
+#: Parts of a bucket, and of a part that is still too large; the latter LEVELS times.
+PARTS, LEVELS = 64, 4
+#: Bytes of strings that a task holds before they go to its scratch file, and that it sorts at once.
+HELD, SORTED = 8 << 20, 4 << 20
 #: Of zstd, for what is shuffled.
 LEVEL = 3
 #: Bytes of two windows compared at a time.
 _COMPARED = 4 << 20
 _FACTOR = 0x9E3779B97F4A7C15
-_KEY = np.dtype([("known", "?"), ("doc", "<i8"), ("hash", "<i4"), ("start", "<i4"), ("windows", "<i4"), ("bytes", "<i4")])
+_KEY = np.dtype([("part", "u1"), ("known", "?"), ("doc", "<i8"), ("hash", "<i4"), ("start", "<i4"), ("windows", "<i4"), ("bytes", "<i4")])
 
 
 def _joined(h: np.ndarray, n: int) -> np.ndarray:
@@ -142,7 +153,7 @@ def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def superkmers(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, count of keys, pack): for each block and bucket, super-k-mers; repeats within the block are packed without strings."""
-    for raw, _, _ in common.blocks(batches):
+    for raw, _, _ in common.blocks(batches, limit=BLOCK_BYTES):
         batch = _sorted_rows(raw)
         data, at = common.flat(batch.column("text"))
         data, at = data[at[0] : at[-1]], at - at[0]
@@ -173,8 +184,9 @@ def superkmers(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
         window, sizes = fresh[begin], np.diff(np.append(begin, len(fresh)))
         lengths = place[window + sizes - 1 + WINDOW] - place[window]
         kmers = keyed(window, sizes, lengths)
-        bucket = (common.mix(least[window]) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        scattered = common.mix(least[window])
+        bucket, kmers["part"] = (scattered % np.uint64(buckets)).astype(np.int64), (scattered >> np.uint64(40)) % np.uint64(PARTS)
+        order = np.lexsort((kmers["part"], bucket))
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         engine = zstandard.ZstdCompressor(level=LEVEL)
         where, counts, blobs = [], [], []
@@ -206,54 +218,148 @@ def _unpacked(count: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.frombuffer(raw, np.uint8, offset=at)
 
 
+class _Parts:
+    """Super-k-mers of one bucket (or part) by part: in memory up to HELD bytes, beyond in a scratch file of the task."""
+
+    def __init__(self):
+        self.raw = [0] * PARTS
+        self._held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(PARTS)]
+        self._filed: list[list[tuple[int, int, int]]] = [[] for _ in range(PARTS)]
+        self._bytes, self._file = 0, None
+
+    def add(self, keys: np.ndarray, strings: np.ndarray) -> None:
+        """keys come sorted by part, their strings in the same order."""
+        edges = np.searchsorted(keys["part"], np.arange(PARTS + 1))
+        ends = np.concatenate([[0], np.cumsum(keys["bytes"].astype(np.int64))])
+        for p in np.unique(keys["part"]).tolist():
+            own = keys[edges[p] : edges[p + 1]], strings[ends[edges[p]] : ends[edges[p + 1]]]
+            self._held[p].append(own)
+            self.raw[p] += len(own[1])
+        self._bytes += len(strings) + keys.nbytes
+        if self._bytes > HELD:
+            self._flush()
+
+    def _flush(self) -> None:
+        self._file = self._file or tempfile.TemporaryFile()
+        engine, at = zstandard.ZstdCompressor(level=1), self._file.seek(0, 2)
+        for held, filed in zip(self._held, self._filed, strict=True):
+            if held:
+                keys, strings = (np.concatenate(x) for x in zip(*held, strict=True))
+                blob = engine.compress(_by_field(keys) + strings.tobytes())
+                self._file.write(blob)
+                filed.append((at, len(blob), len(keys)))
+                at += len(blob)
+                held.clear()
+        self._bytes = 0
+
+    def chunks(self, parts: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for p in parts:
+            for at, size, count in self._filed[p]:
+                self._file.seek(at)
+                yield _unpacked(count, self._file.read(size))
+            yield from self._held[p]
+
+    def close(self) -> None:
+        if self._file:
+            self._file.close()
+
+
+def _windows_of(keys: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed super-k-mers: starts of the words (one more than words), their rows, the windows, their places in the document, hashes of all windows."""
+    at = np.concatenate([[0], np.cumsum(keys["bytes"].astype(np.int64))])
+    s, e, row = common.words(data, at)
+    first_word = np.searchsorted(row, np.arange(len(keys)))
+    valid = common.run_index(first_word, keys["windows"].astype(np.int64))
+    return np.append(s, len(data)), row, valid, valid - first_word[row[valid]] + keys["start"][row[valid]], _joined(common.word_hashes(data, s, e), WINDOW)
+
+
+def _found(keys: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(keys["doc"], pa.int64(), mask=~keys["known"]), "hash": pa.array(keys["hash"], pa.int32()),
+        "start": pa.array(start.astype(np.int32), pa.int32()), "windows": pa.array(sizes.astype(np.int32), pa.int32()),
+    })
+
+
+def _judged(chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The repeated windows among all of the chunks, sorted in memory."""
+    keys, data = (np.concatenate(x) for x in zip(*chunks, strict=True))
+    begin = np.cumsum(keys["bytes"].astype(np.int64)) - keys["bytes"]
+    order = np.lexsort((keys["start"], keys["hash"], keys["doc"], ~keys["known"]))
+    keys = keys[order]
+    data = data[common.run_index(begin[order], keys["bytes"].astype(np.int64))]
+    place, row, valid, offset, hashes = _windows_of(keys, data)
+    first = _firsts(data, place, hashes, valid)
+    position = np.zeros(len(place), np.int64)
+    position[valid] = offset
+    a, b = row[valid], row[first]
+    # The same place of the same document may come twice, from rows that repeat: it isn't repeated by itself.
+    itself = (keys["doc"][a] == keys["doc"][b]) & (keys["hash"][a] == keys["hash"][b]) & (keys["known"][a] == keys["known"][b]) & (offset == position[first])
+    windows, sizes = _intervals(valid[~itself], row)
+    return _found(keys[row[windows]], position[windows], sizes)
+
+
+def _streamed(chunks: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """The repeated windows among single windows of few different texts, read twice."""
+
+    def rows() -> Iterator[tuple[np.ndarray, list[bytes], list[tuple]]]:
+        for keys, data in chunks():
+            ends = np.cumsum(keys["bytes"].astype(np.int64)).tolist()
+            raw = data.tobytes()
+            yield keys, [raw[b - n : b] for b, n in zip(ends, keys["bytes"].tolist(), strict=True)], list(zip(*(keys[f].tolist() for f in ("known", "doc", "hash", "start")), strict=True))
+
+    least: dict[bytes, tuple] = {}
+    order = lambda x: (not x[0], *x[1:])
+    for _, texts, places in rows():
+        for t, x in zip(texts, places, strict=True):
+            if t not in least or order(x) < order(least[t]):
+                least[t] = x
+    for keys, texts, places in rows():
+        again = keys[np.array([least[t] != x for t, x in zip(texts, places, strict=True)], bool)]
+        yield _found(again, again["start"], again["windows"])
+
+
+def _sorted_parts(parts: _Parts, level: int = 0) -> Iterator[pa.RecordBatch]:
+    """The repeated windows of all parts, a few bytes at a time; large parts are dealt on by the windows' hashes."""
+    p = 0
+    while p < PARTS:
+        q, total = p + 1, parts.raw[p]
+        while q < PARTS and total + parts.raw[q] <= SORTED:
+            q, total = q + 1, total + parts.raw[q]
+        if total > SORTED and level == LEVELS:
+            yield from _streamed(lambda own=range(p, q): parts.chunks(own))
+        elif total > SORTED:
+            finer = _Parts()
+            for keys, data in parts.chunks(range(p, q)):
+                place, row, valid, offset, hashes = _windows_of(keys, data)
+                out = keys[row[valid]]
+                out["part"] = (hashes[valid] >> np.uint64(6 * level)) % np.uint64(PARTS)
+                out["start"], out["windows"], out["bytes"] = offset, 1, place[valid + WINDOW] - place[valid]
+                order = np.argsort(out["part"], kind="stable")
+                out, at = out[order], place[valid][order]
+                for i in range(0, len(out), 8192):  # a window's string is longer than its share of a super-k-mer
+                    few = out[i : i + 8192]
+                    finer.add(few, data[common.run_index(at[i : i + 8192], few["bytes"].astype(np.int64))])
+            yield from _sorted_parts(finer, level + 1)
+            finer.close()
+        elif total:
+            yield _judged(parts.chunks(range(p, q)))
+        p = q
+
+
 def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of repeated windows out of packs sorted by bucket."""
-
-    def out(keys: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(keys["doc"], pa.int64(), mask=~keys["known"]), "hash": pa.array(keys["hash"], pa.int32()),
-            "start": pa.array(start.astype(np.int32), pa.int32()), "windows": pa.array(sizes.astype(np.int32), pa.int32()),
-        })
-
-    def judged(packs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        keys, strings = (list(x) for x in zip(*(_unpacked(*p) for p in packs), strict=True))
-        keys, data = np.concatenate(keys), np.concatenate(strings)
-        local = keys["bytes"] == 0
-        if local.any():
-            yield out(keys[local], keys["start"][local], keys["windows"][local])
-        keys = keys[~local]
-        if not len(keys):
-            return
-        begin = np.cumsum(keys["bytes"].astype(np.int64)) - keys["bytes"]
-        order = np.lexsort((keys["start"], keys["hash"], keys["doc"], ~keys["known"]))
-        keys, sizes = keys[order], keys["bytes"][order].astype(np.int64)
-        data = data[common.run_index(begin[order], sizes)]
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        s, e, row = common.words(data, at)
-        place = np.append(s, len(data))
-        count = keys["windows"].astype(np.int64)
-        first_word = np.searchsorted(row, np.arange(len(keys)))
-        valid = common.run_index(first_word, count)
-        first = _firsts(data, place, _joined(common.word_hashes(data, s, e), WINDOW), valid)
-        offset = valid - first_word[row[valid]] + keys["start"][row[valid]]
-        position = np.zeros(len(s), np.int64)
-        position[valid] = offset
-        a, b = row[valid], row[first]
-        # The same place of the same document may come twice, from rows that repeat: it isn't repeated by itself.
-        itself = (keys["doc"][a] == keys["doc"][b]) & (keys["hash"][a] == keys["hash"][b]) & (keys["known"][a] == keys["known"][b]) & (offset == position[first])
-        windows, sizes = _intervals(valid[~itself], row)
-        yield out(keys[row[windows]], position[windows], sizes)
-
-    bucket, held = None, []
+    """Intervals of repeated windows out of all packs of some buckets."""
+    parts = _Parts()
     for batch in batches:
-        for where, *pack in zip(*(batch.column(c).to_pylist() for c in ("bucket", "count", "pack")), strict=True):
-            if where != bucket and held:
-                yield from judged(held)
-                held = []
-            bucket = where
-            held.append(pack)
-    if held:
-        yield from judged(held)
+        counts, packs = batch.column("count"), batch.column("pack")
+        for i in range(batch.num_rows):
+            keys, strings = _unpacked(counts[i].as_py(), packs[i].as_py())
+            local = keys["bytes"] == 0
+            if local.any():
+                yield _found(keys[local], keys["start"][local], keys["windows"][local])
+            if not local.all():
+                parts.add(keys[~local], strings)
+    yield from _sorted_parts(parts)
+    parts.close()
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -262,10 +368,9 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, hash (of the text), start and windows: runs of windows that start earlier, too."""
-    count = common.partitions(docs)
-    buckets = BUCKETS_PER_PARTITION * count
+    buckets = common.partitions(docs)
     packs = _hashed(common.documents(docs)).mapInArrow(lambda it: superkmers(it, buckets), "bucket int, count int, pack binary")
-    return packs.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(repeated_windows, "doc_id long, hash int, start int, windows int")
+    return packs.repartitionById(buckets, F.col("bucket")).mapInArrow(repeated_windows, "doc_id long, hash int, start int, windows int")
 
 
 def _cover(start: list[int], windows: list[int], words: int) -> np.ndarray:

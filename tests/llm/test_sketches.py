@@ -127,11 +127,16 @@ def windows_fixture():
     return rows
 
 
-@pytest.mark.parametrize("block", [1, 1 << 12, 1 << 22])
-def test_removal_is_the_plain_one(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "sorted_bytes", "levels"), [(1, 4 << 20, 4), (1 << 12, 4 << 20, 4), (1 << 22, 4 << 20, 4), (1, 3000, 4), (1 << 12, 500, 2), (1, 100, 1)])
+def test_removal_is_the_plain_one(spark, monkeypatch, block, sorted_bytes, levels):
+    """Also where buckets go to scratch files, hot parts are dealt on, and single windows are read as a stream."""
     rows = windows_fixture()
     blocks = common.blocks
     monkeypatch.setattr(common, "blocks", lambda it, text="text", limit=block: blocks(it, text, block))
+    if sorted_bytes < 4 << 20:
+        monkeypatch.setattr(superkmer_dedup, "SORTED", sorted_bytes)
+        monkeypatch.setattr(superkmer_dedup, "HELD", 2000)
+        monkeypatch.setattr(superkmer_dedup, "LEVELS", max(1, levels))
     batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in part], pa.int64()), "text": pa.array([r[1] for r in part]), "hash": pa.array([hash(r[1]) & 0xFFFF for r in part], pa.int32())}) for part in (rows[::2], rows[1::2])]
     packs = sorted((p for b in superkmer_dedup.superkmers(iter(batches), 7) for p in zip(*(b.column(c).to_pylist() for c in ("bucket", "count", "pack")), strict=True)), key=lambda x: x[0])
     one = pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in packs], pa.int32()), "count": pa.array([p[1] for p in packs], pa.int32()), "pack": pa.array([p[2] for p in packs], pa.binary())})
