@@ -7,12 +7,13 @@ into those of its halves) and on one of the registers. A document takes the poin
 the earliest. Two documents agree in a register with probability equal to their weighted Jaccard similarity, exactly.
 Points are drawn only up to a time by which all registers are very likely filled; documents with an empty one go on.
 
-Candidates. Documents that agree in all registers of a band share its bucket; exact copies are one node. In each bucket
-members are first compared with one leader, not with each other. Where classes still differ in a bucket of three or
-more, its cluster (nodes joined by such buckets) is dealt out in blocks: a task gets two blocks and compares all their
-nodes at once, by a product of matrices, and returns classes, not pairs. Blocks whose nodes are in the cluster's largest
-class already are not compared with each other. Every comparison is of the multisets themselves, so the result is that
-of comparing all candidates. Linked nodes form classes (connected components by large and small stars).
+Candidates. Documents that agree in all registers of a band share its bucket; exact copies are one node. Every pair of
+nodes that shares a bucket is decided, whatever the bucket's size. In each bucket members are first compared with one
+leader, not with each other. Where classes still differ in a bucket of three or more, its nodes are dealt out in blocks:
+a task gets two blocks and compares all their nodes at once, by a product of matrices, and returns classes, not pairs.
+Blocks whose nodes are in the bucket's largest class already are not compared with each other, and of buckets with the
+same nodes one is enough. Every comparison is of the multisets themselves, so the classes are those of comparing all
+candidates. Linked nodes form classes (connected components by large and small stars).
 
 Defined results: a document without words is alone in its class, also if its text is null. One of fewer than `SHINGLE`
 words has one shingle, all its words. Rows with equal texts are in one class, whatever their ids. The class id is the
@@ -40,8 +41,8 @@ BANDS, ROWS = 20, 6
 REGISTERS = BANDS * ROWS
 #: Registers are all filled by the first horizon but in e**-PATIENCE of documents.
 PATIENCE = 6.0
-#: Nodes of a block; beyond CLUSTER nodes blocks are made of buckets, not of clusters.
-BLOCK, CLUSTER = 256, 50_000
+#: Nodes of a block.
+BLOCK = 256
 #: Shingles of a matrix at a time.
 _COLUMNS = 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -261,17 +262,14 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _tiles(members: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-    """Rows (g, p, q, node): nodes of clusters with several classes, dealt to pairs of blocks; None if there are none."""
+    """Rows (g, p, q, node): nodes of buckets with several classes, dealt to pairs of blocks; None if there are none."""
     rows = _labelled(members.select("band", "node"), labels)
-    mixed = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.min("node").alias("leader")).filter("x <> y and n > 2").select("band", "leader")
-    rows = common.cut(rows.join(mixed, "band"))
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"h{i}") for i in (0, 1)]
+    mixed = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), *same).filter("x <> y and n > 2")
+    once = mixed.groupBy("n", "h0", "h1").agg(F.min("band").alias("band")).select("band")
+    rows = common.cut(rows.join(once, "band").select(F.col("band").alias("g"), "node", F.col("label").alias("own")))
     if rows.isEmpty():
         return None
-    clusters = components(rows.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    rows = _labelled(rows.drop("leader").withColumnRenamed("label", "own"), clusters).withColumnRenamed("label", "cluster")
-    large = rows.select("cluster", "node").distinct().groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > CLUSTER).select("cluster", F.lit(True).alias("large"))
-    rows = rows.join(large, "cluster", "left")
-    rows = rows.select(F.when(F.col("large"), F.col("band").cast("string").cast("binary")).otherwise(F.col("cluster")).alias("g"), "node", "own").distinct()
     counts = rows.groupBy("g", "own").agg(F.count("*").alias("n"))
     main = counts.groupBy("g").agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all"))
     rows = rows.join(main, "g")

@@ -252,13 +252,29 @@ def test_classes_are_the_plain_ones(spark, monkeypatch):
     assert all(k == min(v) for k, v in got.items())
 
 
-def test_large_clusters_go_by_bucket(spark, monkeypatch):
-    monkeypatch.setattr(bagminhash, "CLUSTER", 10)
-    rows = near_fixture()
-    got = collections.defaultdict(list)
-    for r in bagminhash.classes(table(spark, rows)).collect():
-        got[r["class_id"]].append(r["doc_id"])
-    assert sorted(sorted(g) for g in got.values()) == plain_classes(rows)[0]
+def test_recall_on_documents(spark):
+    """Of all pairs at the similarity or above, of ids divisible by 50 and all rows, those in one class; and no class joins documents that no chain links."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = {d: collections.Counter(tuple(ws[j : j + 5]) for j in range(max(1, len(ws) - 4))) for d, t in rows if (ws := WORD.findall(t or ""))}
+    holders = collections.defaultdict(set)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].add(d)
+    of = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(docs).collect()}
+    pairs = found = 0
+    for d in (d for d in sets if d % 50 == 0):
+        for o in set().union(*(holders[x] for x in sets[d])) - {d}:
+            both = sum((sets[d] & sets[o]).values())
+            if both >= 0.8 * (sum(sets[d].values()) + sum(sets[o].values()) - both):
+                pairs, found = pairs + 1, found + (of[d] == of[o])
+    assert pairs and found >= 0.9 * pairs
+    groups = collections.defaultdict(list)
+    for d, c in of.items():
+        groups[c].append((d, dict(rows)[d]))
+    for members in groups.values():
+        if len(members) > 1:
+            assert len(plain_classes(members)[0]) == 1
 
 
 def test_overlap_matrix():
