@@ -43,7 +43,7 @@ def op2_host_word_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_external_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc_index.archive_and_index(read_table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "position")
 
 
 ORACLES["op8_external_index_merge"] = r"""
@@ -57,13 +57,16 @@ WITH p AS (
   FROM d
 ), h AS (
   SELECT *, lower(regexp_extract(rest, '^[^/?]*')) AS host, regexp_replace(rest, '^[^/?]*', '') AS tail FROM k
+), c AS (
+  SELECT page_id, payload_bytes, payload_digest,
+         CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+         CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to,
+         CASE WHEN contains(url, '://') THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' ||
+              CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END ELSE url END AS urlkey,
+         strftime(TIMESTAMP '2024-01-01' + to_microseconds(coalesce(page_id, 0)), '%Y-%m-%dT%H:%M:%S.%fZ') AS captured
+  FROM h
 )
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to,
-       CASE WHEN contains(url, '://') THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' ||
-            CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END ELSE url END AS urlkey
-FROM h
+SELECT *, row_number() OVER (ORDER BY urlkey, captured, page_id NULLS FIRST, payload_digest, record_type) - 1 AS position FROM c
 """
 
 
