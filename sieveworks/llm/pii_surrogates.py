@@ -1,10 +1,11 @@
 """Personal data and secrets replaced by keyed surrogates of the same type and format.
 
 Detected are e-mail addresses, telephone numbers, payment cards, IBANs, US social security numbers, IPv4 addresses, keys
-and passwords, and names after a title. Every entity has a canonical form, shared by all its mentions; the surrogate is
+and passwords, and names: after a title ("Dr.", "Frau", before 先生 or 씨), after words that announce one ("my name is",
+"Dear", "Author:"), and common given names before a capitalised word. Every entity has a canonical form, shared by all its mentions; the surrogate is
 a keyed function of kind, canonical form and attempt, so one person stays one person in all documents. Each mention gets
 it in its own format: punctuation, spacing, letter case, country code, check digits. Names keep gender (of the title or
-of a known given name) and script.
+of a known given name) and script; they are built from syllables, so that even first draws seldom meet.
 
 Collision checks hold entities apart: where two entities of a kind got the same surrogate, or a surrogate is an entity
 of the input, all but one take the next attempt, until none collide. Only such entities travel back to their documents;
@@ -12,8 +13,9 @@ for all others the function alone gives the surrogate, so texts are not shuffled
 
 Defined results: a null text stays null, an empty one empty. Rows that repeat, and equal mentions, get equal surrogates.
 Overlapping matches go to the kind first in KINDS. A run of one symbol after "password:" and the like is an underline or a
-mask, no secret; other values without a letter or digit get drawn symbols. Where a format is used up, surrogates grow. No rows give no rows; other columns are left out (`replace` keeps
-those of documents). Texts are searched whole.
+mask, no secret; other values without a letter or digit get drawn symbols. Where a format is used up, surrogates grow. No
+rows give no rows; other columns are left out (`replace` keeps those of documents). Texts are searched whole, and
+entities of any length are replaced whole.
 """
 
 from __future__ import annotations
@@ -35,34 +37,52 @@ KINDS = ("email", "iban", "card", "secret", "ssn", "ip", "phone", "given", "fami
 #: From this attempt on the format counts as used up, and each further attempt draws one more digit.
 WIDER_FROM = 32
 
-#: Name pools by script, and titles; surrogates beyond a pool are made of syllables of the script.
+# Common given names by script and gender, from which a name's gender and its start are told.
 GIVEN = {
-    ("latin", "f"): "Anna Maria Laura Sofia Elena Clara Julia Marta Nina Paula Rosa Sara Eva Lucia Irene Alice Emma Helena Ida Judith".split(),
-    ("latin", "m"): "Adam Bruno Carlos David Erik Felix Georg Hugo Ivan Jakob Karl Leo Martin Nils Oscar Peter Robert Simon Thomas Victor".split(),
+    ("latin", "f"): "Alice Amy Angela Anna Barbara Betty Carol Clara Emily Emma Eva Helen Helena Irene Jane Jennifer Jessica Judith Julia Karen Laura Linda Lisa Lucia Margaret Maria Marta Mary Nancy Patricia Paula Rosa Ruth Sandra Sara Sarah Sofia Susan".split(),
+    ("latin", "m"): "Adam Alan Andrew Anthony Brian Bruno Carlos Charles Christopher Daniel David Edward Erik Felix Frank Georg George Hans Henry Ivan Jakob James John Joseph Karl Kevin Luis Mark Martin Michael Nils Oscar Paul Peter Richard Robert Simon Steven Thomas Victor William".split(),
     ("cyrillic", "f"): "Анна Мария Ольга Елена Ирина Нина Вера Юлия Дарья Софья".split(),
     ("cyrillic", "m"): "Иван Пётр Борис Павел Сергей Олег Антон Денис Роман Юрий".split(),
     ("greek", "f"): "Μαρία Ελένη Άννα Σοφία Ειρήνη Δήμητρα Χριστίνα Ιωάννα".split(),
     ("greek", "m"): "Γιώργος Νίκος Πέτρος Κώστας Δημήτρης Ανδρέας Στέφανος Μιχάλης".split(),
 }
-FAMILY = {
-    "latin": "Abbott Becker Castro Dalton Engel Fischer Garcia Hansen Iversen Jensen Keller Lopez Moreau Novak Olsen Peters Quinn Rossi Santos Turner Unger Vidal Weber Young Zeller".split(),
-    "cyrillic": "Иванов Петров Сидоров Кузнецов Попов Соколов Лебедев Козлов Новиков Морозов".split(),
-    "greek": "Παπαδόπουλος Νικολάου Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Βασιλείου Αντωνίου".split(),
-}
+#: Syllables (or characters) of which surrogates are made, by script; and endings of given names by gender.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi za".split(),
     "cyrillic": "ба бе би бо ва ве ви га го да де ди ка ко ла ле ли ма ме ми на не ни но па по ра ре ри ро са се та те ти то".split(),
     "greek": "βα βε γα γο δα δε ζα κα κε κο λα λε λι μα με μι να νε νι πα πε πο ρα ρε ρο σα σε τα τε το".split(),
+    "han": list("安博晨德东方光国海和宏华建江杰景凯康可乐林龙明宁平青庆荣瑞山世书思天文心新星雅阳义永宇元云泽志中子"),
+    "kana": list("あいうえおかきくけこさしすせそたちつてとなにねのはひふへほまみむめもやゆよらりるれろわ"),
+    "hangul": list("가강경고광국기나다도동라리마명미민바보비사상서선성소수승아안연영예오용우원유은이인자재정종주준지진찬태하현혜호희"),
+    "arabic": "با بي تا جا حا دا را سا شا عا فا كا لا ما نا ها يا دي ري سي في كي لي مي ني".split(),
+    "hebrew": "בא גא דא הא זא חא לא מא נא סא פא רא שא תא בי גי די לי מי ני סי רי שי תי".split(),
+    "devanagari": "का गा चा जा ता दा ना पा बा मा या रा ला वा सा हा कि गि नि मि रि ली सी".split(),
 }
+_ENDINGS = {("latin", "f"): "na", ("latin", "m"): "ro", ("cyrillic", "f"): "на", ("cyrillic", "m"): "ил", ("greek", "f"): "νη", ("greek", "m"): "ος"}
+#: Last letters of the scripts' ranges of code points; what is in none counts as Latin.
+_RANGES = (("greek", "Ͱ", "Ͽ"), ("cyrillic", "Ѐ", "ԯ"), ("hebrew", "֐", "׿"), ("arabic", "؀", "ۿ"), ("devanagari", "\u0900", "\u097f"), ("greek", "ἀ", "῿"), ("kana", "\u3040", "ヿ"), ("han", "一", "鿿"), ("hangul", "가", "힣"))
+#: Titles by gender (u: of either).
 TITLES = {
-    "f": "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Sra Doña Signora госпожа κυρία".split(),
-    "m": "Mr Mister Herr Monsieur Señor Sr Don Signor господин κύριος".split(),
+    "f": "Mrs Ms Miss Madam Lady Dame Frau Madame Mme Mademoiselle Señora Sra Doña Signora госпожа κυρία السيدة גברת श्रीमती".split(),
+    "m": "Mr Mister Sir Lord Herr Monsieur Señor Sr Don Signor господин κύριος السيد מר श्री".split(),
+    "u": "Dr Doctor Prof Professor Doktor".split(),
 }
 _GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts}
-_NAME = r"[^\W\d_a-zà-öø-ÿа-яё]['’]?[^\W\d_]+(?:-[^\W\d_]+)*"
-_TITLE = re.compile(r"\b(?:" + "|".join(sorted({x for t in _GENDER for x in (t, t.capitalize())}, key=len, reverse=True)) + r")\b\.?(?=\s)")
+_AFTER = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f", "さん": "u", "様": "u", "씨": "u", "님": "u"}
+_KNOWN = {n.lower(): g for (_, g), names in GIVEN.items() for n in names}
+#: Words after "Dear" and the like that are no names.
+_NOBODY = frozenset("sir sirs madam all team customer customers friend friends colleague colleagues editor reader readers parent parents student students member members everyone user guest god diary the our my".split())
+_NAME = r"(?:[^\W\d_a-zà-öø-ÿа-яё\u0900-\u097f]['’]?[^\W\d_]+(?:-[^\W\d_]+)*|[\u0900-\u097f]{2,})"
+# Patterns that begin with plain letters are searched fastest; what may not stand before them is checked afterwards.
+_TITLE = re.compile(r"(?:" + "|".join(sorted({x for t in _GENDER for x in (t, t.capitalize())}, key=len, reverse=True)) + r")(?![^\W_]|[\u0900-\u097f])\.?(?=\s)")
+_CUE = re.compile(r"\b(?:[Mm]y name is|I am called|[Dd]ear|[Ss]incerely|[Rr]egards|[Yy]ours (?:truly|faithfully)|[Ss]igned(?: by)?|[Ww]ritten by),?(?=\s)|\b(?:Name|Author|Contact|Attn|Patient|Signed)\s*:(?=\s)")
 _NAMES = re.compile(rf"\s+({_NAME})(?:[ \t]+({_NAME}))?(?:[ \t]+({_NAME}))?")
-_EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}")
+_FULL = re.compile(r"(?:" + "|".join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True)) + rf")(?=[ \t]+{_NAME})")
+_BEFORE = re.compile(r"([王李张張刘劉陈陳杨楊黄黃赵趙吴吳周徐孙孫马馬朱胡郭何高林罗羅][一-鿿]{1,2}(?=先生|女士|小姐|太太)|(?<![一-鿿])[一-鿿]{2,4}(?=さん|様)|(?<![가-힣])[가-힣]{2,4}(?= ?[씨님](?![가-힣])))")
+#: Texts without any of these hold no announcement.
+_CUE_PARTS = ("name is", "am called", "Dear", "dear", "incerely", "egards", "ours truly", "ours faithfully", "igned", "ritten by", "Name", "Author", "Contact", "Attn", "Patient")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])")
 _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_=.\-]{6,})")
@@ -84,18 +104,59 @@ def _iban_sound(text: str) -> bool:
 
 def script_of(text: str) -> str:
     x = next((c for c in text if c.isalpha()), "a")
-    return "cyrillic" if "Ѐ" <= x <= "ӿ" else "greek" if "Ͱ" <= x <= "Ͽ" or "ἀ" <= x <= "῿" else "latin"
+    return next((s for s, low, high in _RANGES if low <= x <= high), "latin")
 
 
-_KNOWN = {n.lower(): g for (_, g), names in GIVEN.items() for n in names}
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses: a domain after an @, and all before it that can be of an address."""
+    at, done = text.find("@"), 0
+    while at >= 0:
+        begin = at
+        while begin > done and text[begin - 1] in _LOCAL:
+            begin -= 1
+        while begin < at and not text[begin].isalnum():
+            begin += 1
+        if begin < at and text[at - 1] != "." and (m := _DOMAIN.match(text, at + 1)):
+            done = m.end()
+            yield begin, done
+        at = text.find("@", max(at + 1, done))
+
+
+def _named(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Given and family names, by titles, announcements and common given names."""
+
+    def of(spans: list[tuple[int, int]], gender: str) -> Iterator[tuple[int, int, str, str]]:
+        for k, (a, b) in enumerate(spans):
+            last = k == len(spans) - 1
+            name = text[a:b].lower()
+            yield a, b, "family" if last else "given", name + ("" if last else "/" + _KNOWN.get(name, gender))
+
+    begins = lambda m: not m.start() or not text[m.start() - 1].isalnum()
+    for t in _TITLE.finditer(text):
+        if begins(t) and (m := _NAMES.match(text, t.end())):
+            yield from of([m.span(k) for k in (1, 2, 3) if m[k]], _GENDER[t[0].rstrip(".").lower()])
+    for c in _CUE.finditer(text) if any(map(text.__contains__, _CUE_PARTS)) else ():
+        if (m := _NAMES.match(text, c.end())) and m[1].lower() not in _NOBODY and m[1].lower() not in _GENDER:
+            spans = [m.span(k) for k in (1, 2, 3) if m[k]]
+            if len(spans) == 1 and m[1].lower() in _KNOWN:
+                yield *spans[0], "given", m[1].lower() + "/" + _KNOWN[m[1].lower()]
+            else:
+                yield from of(spans, "u")
+    for f in filter(begins, _FULL.finditer(text)):
+        m = _NAMES.match(text, f.end())
+        yield from of([f.span(), *(m.span(k) for k in (1, 2) if m[k])], "u")
+    if not text.isascii() and any(map(text.__contains__, _AFTER)):
+        for m in _BEFORE.finditer(text):
+            (a, b), gender = m.span(), next((g for mark, g in _AFTER.items() if text.startswith(mark, m.end()) or text.startswith(" " + mark, m.end())), "u")
+            yield a, a + 1, "family", text[a]
+            yield a + 1, b, "given", text[a + 1 : b] + "/" + gender
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Mentions (start, end, kind, canonical form) in order, none overlapping another."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
-        for m in _around(text, "@", _EMAIL):
-            found.append((*m.span(), "email", m[0].lower()))
+        found += [(a, b, "email", text[a:b].lower()) for a, b in _emails(text)]
     if any(map(text.__contains__, "0123456789")):
         for m in _IBAN.finditer(text):
             if _iban_sound(m[0]):
@@ -119,13 +180,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if "AKIA" in text or "ASIA" in text:
         for m in _CLOUD_KEY.finditer(text):
             found.append((*m.span(), "secret", m[0]))
-    for t in _TITLE.finditer(text):
-        if m := _NAMES.match(text, t.end()):
-            gender = _GENDER[t[0].rstrip(".").lower()]
-            spans = [m.span(k) for k in (1, 2, 3) if m[k]]
-            for k, (a, b) in enumerate(spans):
-                last = k == len(spans) - 1
-                found.append((a, b, "family" if last else "given", text[a:b].lower() + ("" if last else "/" + _KNOWN.get(text[a:b].lower(), gender))))
+    found += _named(text)
     found.sort(key=lambda x: (x[0], KINDS.index(x[2]), -x[1]))
     kept: list[tuple[int, int, str, str]] = []
     for x in found:
@@ -137,19 +192,6 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return kept
 
 
-def _around(text: str, mark: str, pattern: re.Pattern) -> Iterator[re.Match]:
-    """Matches of the pattern that hold the mark; the pattern is tried only near marks."""
-    at, done = text.find(mark), 0
-    while at >= 0:
-        begin = max(done, at - 64)
-        for m in pattern.finditer(text, begin, min(len(text), at + 320)):
-            if m.start() < at < m.end():
-                yield m
-                done = m.end()
-                break
-        at = text.find(mark, max(at + 1, done))
-
-
 class _Draws:
     """Endless keyed draws for one entity and attempt."""
 
@@ -191,7 +233,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
     if kind == "email":
         local, _, domain = canonical.partition("@")
         labels = domain.split(".")
-        own = domain if len(labels) > 1 and labels[-2] == "example" else ".".join([draw.shaped(x) for x in labels[:-1]] + ["example", "com"])
+        own = ".".join([draw.shaped(x) for x in labels[:-1]] + ["example", "com"])
         return (draw.shaped(local) if re.search(r"[a-z0-9]", local) else "x") + "".join("abcdefghijklmnopqrstuvwxyz"[draw.below(26)] for _ in range(attempt // 4)) + "@" + own
     if kind == "card":
         digits = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[1:]) + wider()
@@ -212,11 +254,10 @@ def surrogate(kind: str, canonical: str, attempt: int, key: str = KEY) -> str:
     if kind in ("given", "family"):
         name, _, gender = canonical.partition("/")
         script = script_of(name)
-        pool = GIVEN[script, gender or "m"] if kind == "given" else FAMILY[script]
-        if attempt < 3:
-            return pool[draw.below(len(pool))].lower()
-        base = "".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + attempt // 8))
-        return base + {("given", "f", "latin"): "na", ("given", "f", "cyrillic"): "на", ("given", "f", "greek"): "νη"}.get((kind, gender, script), "")
+        sounds, short = SYLLABLES[script], script in ("han", "kana", "hangul")
+        count = (1 if kind == "family" else 2) + attempt if short else 3 + attempt // 2
+        base = "".join(sounds[draw.below(len(sounds))] for _ in range(count))
+        return base + (_ENDINGS.get((script, gender if gender in "fm" else "fm"[draw.below(2)]), "") if kind == "given" else "")
     return (canonical[:4] + draw.shaped(canonical[4:]) if re.fullmatch(r"A[KS]IA[0-9A-Z]{16}", canonical) else draw.shaped(canonical)) + wider()
 
 
@@ -270,7 +311,7 @@ def collisions(found: DataFrame, key: str = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "made"])
 
     own = common.cut(found.select("kind", "canonical").distinct())
-    taken = own.select("kind", F.split_part("canonical", F.lit("/"), F.lit(1)).alias("made")).distinct().withColumn("taken", F.lit(True))
+    taken = own.select("kind", F.when(F.col("kind") == "given", F.split_part("canonical", F.lit("/"), F.lit(1))).otherwise(F.col("canonical")).alias("made")).distinct().withColumn("taken", F.lit(True))
     state = own.withColumn("attempt", F.lit(0))
     while True:  # ends, as the draws of those left grow with each round
         made = common.cut(state.mapInArrow(run, "kind string, canonical string, attempt int, made string"))
@@ -293,6 +334,7 @@ def _with_attempts(docs: DataFrame, key: str) -> DataFrame:
     found = spark.read.parquet(path)
     other = found.join(collisions(found, key), ["kind", "canonical"]).groupBy(F.col("doc_id").alias("key"), F.col("hash").alias("key_hash")).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("attempts"))
     other.write.parquet(more)  # read back, its size is known: Spark broadcasts it only below spark.sql.autoBroadcastJoinThreshold
+    common.remove(spark, path)
     other = spark.read.schema(other.schema).parquet(more)
     return _hashed(docs).join(other, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("hash") == F.col("key_hash")), "left").drop("key", "key_hash", "hash")
 
