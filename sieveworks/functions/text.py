@@ -10,6 +10,9 @@ from ..schema import ENTITY_TYPES
 #: Words that don't count for lexical overlap.
 STOP_WORDS = "the a an of my and or in on to was is were had have so very bit little some no not".split()
 
+#: Fixed value: the group of documents that is a stratum of its own.
+LARGE_GROUP = "LIPITOR"
+
 
 def words(text: Column) -> Column:
     """Lower-case words between white space."""
@@ -118,21 +121,36 @@ def iou(a: Column, b: Column) -> Column:
     return jaccard(positions(a), positions(b))
 
 
+def _nearest(span: Column, source: Column, anchor: Column) -> Column:
+    """struct(at, n, d, h): how many places the span stands at, overlapping ones too, and the one nearest to the anchor (the first of two)."""
+    # The pieces between places: a split before every place, so their lengths add up to the places.
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(span, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), none.alias("d"), none.alias("h"))
+
+    def step(acc: Column, size: Column) -> Column:
+        hit = (acc["at"] > 0) | source.startswith(span)
+        far = F.abs(acc["at"] - anchor).cast("int")
+        better = hit & (acc["d"].isNull() | (far < acc["d"]))
+        return F.struct((acc["at"] + size).alias("at"), (acc["n"] + hit.cast("int")).alias("n"), F.when(better, far).otherwise(acc["d"]).alias("d"), F.when(better, acc["at"]).otherwise(acc["h"]).alias("h"))
+
+    return F.aggregate(F.transform(F.split(source, quoted), F.length), start, step)
+
+
 def recover_offsets(span: Column, source: Column, claimed: Column) -> Column:
-    """struct(s, e, how): where a quoted span stands; of several places the one nearest to the claim."""
+    """struct(s, e, how): where a quoted span stands; of several places the one nearest to the claim. One pass over the source."""
     n = F.length(span)
-    hits = F.filter(F.sequence(F.lit(0), F.greatest(F.length(source) - n, F.lit(0))), lambda i: F.substring(source, i + 1, n) == span)
     anchor = F.when(claimed >= 0, claimed).otherwise(F.lit(0))
-    near = F.array_min(F.transform(hits, lambda h: F.struct(F.abs(h - anchor).alias("d"), h.alias("h"))))["h"]
     low = F.instr(F.lower(source), F.lower(span)) - 1
     at = lambda s, how: F.struct(s.cast("int").alias("s"), (s + n).cast("int").alias("e"), how.alias("how"))
     none = lambda how: F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(how).alias("how"))
+    said = lambda k: F.when(k == 1, F.lit("search_unique")).otherwise(F.concat(F.lit("search_nearest_of_"), k.cast("string")))
+    exact = F.get(F.transform(F.array(_nearest(span, source, anchor)), lambda x: at(x["h"], said(x["n"]))), 0)
     return (
         F.when(F.coalesce(n, F.lit(0)) == 0, none("empty"))
         .when((F.instr(source, span) == 0) & (low < 0), none("not_in_source"))
         .when(F.instr(source, span) == 0, at(low, F.lit("search_case_insensitive")))
-        .when(F.size(hits) == 1, at(F.get(hits, 0), F.lit("search_unique")))
-        .otherwise(at(near, F.concat(F.lit("search_nearest_of_"), F.size(hits).cast("string"))))
+        .otherwise(exact)
     )
 
 
@@ -141,13 +159,18 @@ def honoured_tool(code: Column, results: Column) -> Column:
     return F.when(F.coalesce(F.size(results), F.lit(0)) <= 0, F.lit(None).cast("boolean")).otherwise(F.coalesce(F.exists(results, lambda r: r["code"] == F.coalesce(code, F.lit("None"))), F.lit(False)))
 
 
+def family(group: Column) -> Column:
+    """The two strata of documents, by group."""
+    return F.when(group == LARGE_GROUP, F.lit("lipitor")).otherwise(F.lit("diclofenac"))
+
+
 def dollars(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:
     """Cost at prices for a million tokens."""
     return (tokens_in * price_in + tokens_out * price_out) / 1_000_000
 
 
 def cache_key(*fields: Column) -> Column:
-    """sha256 of the canonical JSON of the fields."""
+    """sha256 of the canonical JSON of the fields, which are aliased columns in the order of their names."""
     return F.sha2(F.to_json(F.struct(*fields)), 256)
 
 

@@ -5,27 +5,40 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as X
 
 
-def candidates(pred: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, i, j and iou of pairs in one document that overlap enough. Both sides: doc_id, i (or j), fragments.
+def candidates(pred: DataFrame, gold: DataFrame, threshold: float, hull: bool = False) -> DataFrame:
+    """doc_id, i, j and iou of pairs in one document that overlap enough; with hull also lo and hi, which hold both. Both sides: doc_id, i (or j), fragments.
 
     Spans that can't meet are left out before their characters are compared.
     """
     edge = lambda df, n: df.withColumns({f"{n}0": F.array_min(F.transform("fragments", lambda p: p["s"])), f"{n}1": F.array_max(F.transform("fragments", lambda p: p["e"]))}).withColumnRenamed("fragments", f"f{n}")
     p, g = edge(pred.select("doc_id", "i", "fragments"), "p"), edge(gold.select("doc_id", "j", "fragments"), "g")
-    near = p.join(g, (p["doc_id"] == g["doc_id"]) & (F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1"))).select(p["doc_id"], "i", "j", X.iou(F.col("fp"), F.col("fg")).alias("iou"))
+    near = p.join(g, (p["doc_id"] == g["doc_id"]) & (F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1"))).select(p["doc_id"], "i", "j", X.iou(F.col("fp"), F.col("fg")).alias("iou"), F.least("p0", "g0").alias("lo"), F.greatest("p1", "g1").alias("hi"))
+    near = near if hull else near.drop("lo", "hi")
     return near.filter((F.col("iou") >= threshold) & (F.col("iou") > 0))
 
 
+def parted(pairs: DataFrame) -> DataFrame:
+    """Pairs with `part` instead of lo and hi: pairs whose hulls don't touch share no mention, so they are matched apart."""
+    order = Window.partitionBy("doc_id").orderBy("lo", "hi", "i", "j")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = pairs.withColumn("new", F.when(F.col("lo") < before, 0).otherwise(1))
+    return rows.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new", "lo", "hi")
+
+
+def _groups(pairs: DataFrame) -> list[str]:
+    return ["doc_id", "part"] if "part" in pairs.columns else ["doc_id"]
+
+
 def greedy(pairs: DataFrame) -> DataFrame:
-    """Pairs chosen by falling overlap, then by i and j, each mention once: a fold over a document's sorted candidates."""
-    listed = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("cost"), "i", "j"))).alias("c"))
+    """Pairs chosen by falling overlap, then by i and j, each mention once: a fold over the sorted candidates of a document, or of each of its parts."""
+    listed = pairs.groupBy(*_groups(pairs)).agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("cost"), "i", "j"))).alias("c"))
     start = F.array().cast("array<struct<cost:double,i:int,j:int>>")
     free = lambda acc, x: ~F.exists(acc, lambda y: (y["i"] == x["i"]) | (y["j"] == x["j"]))
     chosen = F.aggregate("c", start, lambda acc, x: F.when(free(acc, x), F.array_append(acc, F.struct(x["cost"].alias("cost"), x["i"].cast("int").alias("i"), x["j"].cast("int").alias("j")))).otherwise(acc))
@@ -66,7 +79,7 @@ def assignment(weights: list[list[float]]) -> list[tuple[int, int]]:
 
 
 def optimal(pairs: DataFrame) -> DataFrame:
-    """The pairs of a document with the greatest total overlap."""
+    """The pairs of a document with the greatest total overlap, found part by part."""
 
     def solve(df: pd.DataFrame) -> pd.DataFrame:
         rows, cols = sorted(df["i"].unique()), sorted(df["j"].unique())
@@ -75,12 +88,13 @@ def optimal(pairs: DataFrame) -> DataFrame:
         kept = [(a, b, known[a, b]) for a, b in found if (a, b) in known]
         return pd.DataFrame({"doc_id": [df["doc_id"].iloc[0]] * len(kept), "i": [a for a, _, _ in kept], "j": [b for _, b, _ in kept], "iou": [w for *_, w in kept], "matcher": "optimal"})
 
-    return pairs.groupBy("doc_id").applyInPandas(solve, "doc_id string, i int, j int, iou double, matcher string")
+    return pairs.groupBy(*_groups(pairs)).applyInPandas(solve, "doc_id string, i int, j int, iou double, matcher string")
 
 
 def align(pred: DataFrame, gold: DataFrame, threshold: float = 0.5, matcher: str = "greedy") -> DataFrame:
     """Matched pairs. Those below the threshold never steer the matching."""
-    pairs = candidates(pred, gold, threshold).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "iou")
+    pairs = candidates(pred, gold, threshold, True).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "iou", "lo", "hi")
+    pairs = parted(pairs)
     return greedy(pairs) if matcher == "greedy" else optimal(pairs)
 
 
@@ -118,10 +132,10 @@ def sweep(pred: DataFrame, gold: DataFrame, thresholds: list[float]) -> Iterator
 def sweep_table(pred: DataFrame, gold: DataFrame, thresholds: list[float]) -> DataFrame:
     """The scores of `sweep` with a column threshold, in one plan: pairs are found once, and each threshold matches its own."""
     levels = pred.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
-    pairs = candidates(pred, gold, min(thresholds)).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter("iou >= threshold")
+    pairs = candidates(pred, gold, min(thresholds), True).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).filter("iou >= threshold")
     # A document at a threshold is matched like a document of its own.
-    own = pairs.select(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "threshold").alias("doc_id"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "iou")
-    matched = greedy(own).select("doc_id.doc_id", "doc_id.threshold", "i", "j", "iou")
+    own = pairs.select(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "threshold").alias("doc_id"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "iou", "lo", "hi")
+    matched = greedy(parted(own)).select("doc_id.doc_id", "doc_id.threshold", "i", "j", "iou")
     some = score(pred, gold, matched, ["threshold"])
     names = [c for c in some.columns if c != "threshold"]
     none = score(pred, gold, matched.limit(0)).select(*(F.col(c).alias(f"none_{c}") for c in names))  # for thresholds that match nothing

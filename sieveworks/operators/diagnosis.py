@@ -84,7 +84,9 @@ def plant(records: DataFrame, kind: str, non_findings: DataFrame, findings: Data
 def detection(judged: DataFrame, by: list[str]) -> DataFrame:
     """Counts of planted faults that were rejected, banded and accepted. judged has verdict and skipped."""
     live = lambda v: F.count_if(~F.col("skipped") & (F.col("verdict") == v))
-    return judged.groupBy(*by).agg(F.count_if(~F.col("skipped")).alias("n"), F.count_if("skipped").alias("skipped"), live(schema.REJECT).alias("rejected"), live(schema.BAND).alias("banded"), live(schema.ACCEPT).alias("accepted"))
+    return judged.groupBy(*by).agg(F.count_if(~F.col("skipped")).alias("n"), F.count_if("skipped").alias("skipped"), live(schema.REJECT).alias("rejected"), live(schema.BAND).alias("banded"), live(schema.ACCEPT).alias("accepted")).withColumns({
+        "detection_rate": F.coalesce(F.try_divide("rejected", "n"), F.lit(0.0)), "wrongly_accepted_rate": F.coalesce(F.try_divide("accepted", "n"), F.lit(0.0)),
+    })
 
 
 def backend_class(present: Column, active: Column, international: Column) -> Column:
@@ -92,6 +94,35 @@ def backend_class(present: Column, active: Column, international: Column) -> Col
     return F.when(~F.coalesce(present, F.lit(False)), F.lit("absent")).when(~active, F.lit("retired")).when(international, F.lit("both")).otherwise(F.lit("extension"))
 
 
+def counted(enriched: DataFrame) -> DataFrame:
+    """One row of what a replay of the answer key saw besides verdicts: inactive codes, mentions under a denial, and concept-less ones by verdict."""
+    coded = (F.coalesce("sct", F.lit("")) != "") & (F.col("sct") != schema.CONCEPT_LESS)
+    rows = enriched.select("sct", "cue", (coded & F.col("present") & ~F.col("active")).alias("retired"), verdict()["verdict"].alias("v"))
+    none = lambda v: F.count_if((F.col("sct") == schema.CONCEPT_LESS) & (F.col("v") == v)).alias(f"concept_less_{v.lower()}")
+    return rows.agg(F.count("*").alias("n"), F.count_if("retired").alias("inactive_seen"), F.count("cue").alias("negated_flagged"), *map(none, schema.VERDICTS))
+
+
+def invisible(classes: DataFrame) -> DataFrame:
+    """entity_type, n, how many the other backend can't see, and their percentage; a row of `all` comes first. classes: class, entity_type, n."""
+    seen = F.coalesce(F.sum(F.when(F.col("class") == "both", F.col("n"))), F.lit(0))
+    rows = classes.withColumn("entity_type", F.explode(F.array(F.lit("all"), F.col("entity_type")))).groupBy("entity_type").agg(F.sum("n").alias("n"), (F.sum("n") - seen).alias("invisible"))
+    return rows.withColumn("pct", F.bround(100 * F.col("invisible") / F.col("n"), 2))
+
+
+def sample_codes(codes: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n of the different codes, drawn by a keyed hash, with their places."""
+    drawn = F.md5(F.concat(F.lit(f"{seed}|"), F.col("code")))
+    top = codes.select("code").distinct().withColumn("draw", drawn).orderBy("draw", "code").limit(n)
+    return top.select("code", F.row_number().over(Window.orderBy("draw", "code")).alias("place"))
+
+
+def cross_checked(codes: DataFrame) -> DataFrame:
+    """How often two backends agree, how often the class of a code predicts the other one, and what they disagree on. codes: code, here, there, class."""
+    both = codes.withColumn("same", F.col("here") == F.col("there"))
+    odd = F.array_sort(F.collect_list(F.when(~F.col("same"), F.col("code"))))  # of a sample
+    return both.agg(F.count("*").alias("sampled"), F.count_if("same").alias("agreed"), F.count_if(F.col("there") == (F.col("class") == "both")).alias("predicted_correct"), odd.alias("disagreements"))
+
+
 def masked(enriched: DataFrame, cfg: dict[str, Any] | None = None) -> DataFrame:
     """reason, how often it decided, how often it holds, and how many times the order of checks hid it."""
     rows = enriched.select(verdict(cfg)["reason"].alias("first"), audit(cfg)["reasons"].alias("all"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import schema
 
+#: Slices into which the range of a group's values is cut.
+LEVELS = 4096
+
 
 def entries(snapshot: DataFrame, run_id: str, rung: int, outcome: str = "judged") -> DataFrame:
     """One row for each record that a stage handled."""
@@ -22,15 +25,37 @@ def entries(snapshot: DataFrame, run_id: str, rung: int, outcome: str = "judged"
 def p95(rows: DataFrame, by: list[str], value: str = "latency_ms") -> DataFrame:
     """The nearest-rank 95th percentile of the non-zero values of each group, ranks rounded half to even.
 
-    Ranks come from counts of different values, not from sorted lists: a group's rows are combined before they are
-    shuffled, and no group is gathered in one array.
+    Ranks come from counts: of values, then twice of LEVELS slices of the range in which the rank lies, and only the
+    last slice is ranked value by value. Rows are combined before they are shuffled, and no group is sorted in one task.
     """
-    counts = rows.filter(F.coalesce(F.col(value), F.lit(0.0)) != 0).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    up = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    ranked = counts.withColumn("upto", F.sum("n").over(up)).join(total, by)
+    counts = rows.filter(F.coalesce(F.col(value), F.lit(0.0)) != 0).groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    total = F.sum("n").alias("total")
     place = F.least(F.col("total") - 1, F.bround(F.lit(0.95) * (F.col("total") - 1)).cast("long"))
-    return ranked.filter((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)).select(*by, F.col("value").alias("p95"))
+    rest = counts.join(counts.groupBy(*by).agg(total).select(*by, place.alias("place")), by)
+    for _ in range(2):
+        rest = _slice(rest, by)
+    up = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rest.withColumn("upto", F.sum("n").over(up))
+    return ranked.filter((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place"))).select(*by, F.col("value").alias("p95"))
+
+
+def _slice(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Of (by, value, n, place) the values in the slice of the range that holds the place, which then counts from there."""
+    ends = counts.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    # Differences and quotients of doubles are rounded, but never out of order, so slices are.
+    at = F.when(F.col("high") > F.col("low"), F.floor((F.col("value") - F.col("low")) / ((F.col("high") - F.col("low")) / LEVELS))).otherwise(F.lit(0)).cast("long")
+    rows = counts.join(ends, by).withColumn("at", at)
+    sums = rows.groupBy(*by, "at").agg(F.sum("n").alias("size"), F.first("place").alias("goal"))
+    upto = F.sum("size").over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))  # LEVELS + 1 rows at most
+    held = sums.withColumn("upto", upto).filter((F.col("upto") > F.col("goal")) & (F.col("upto") - F.col("size") <= F.col("goal")))
+    held = held.select(*by, "at", (F.col("goal") - F.col("upto") + F.col("size")).alias("place"))
+    return rows.drop("place", "low", "high").join(held, [*by, "at"]).select(*by, "value", "n", "place")
+
+
+def ranked(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Counts with their places, most frequent first, ties by what is counted."""
+    rest = [c for c in counts.columns if c not in (*by, "n")]
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), *rest)))
 
 
 def cost_by_stage(rows: DataFrame, n_records: int | None = None) -> DataFrame:

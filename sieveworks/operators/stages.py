@@ -6,6 +6,7 @@ of the parameters share one enrichment.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -34,7 +35,11 @@ def enrich(records: DataFrame, sources: DataFrame, vocabulary: Vocabulary | None
     else:
         c = vocabulary.concept.select(F.col("id").alias("sct"), "active", "is_finding", "is_finding_hist", F.lit(True).alias("found"))
         t = vocabulary.terms.select(F.col("concept_id").alias("sct"), "norms", "preferred")
-        rows = rows.join(c, "sct", "left").join(t, "sct", "left")
+        # Records without a code meet nothing; each gets a key of its own, or one task would get them all.
+        coded = (F.coalesce("sct", F.lit("")) != "") & (F.col("sct") != schema.CONCEPT_LESS)
+        rows = rows.withColumn("code_key", F.when(coded, F.col("sct")).otherwise(F.concat(F.lit("#"), F.xxhash64("doc_id", "text").cast("string"))))
+        both = c.withColumnRenamed("sct", "code_key"), t.withColumnRenamed("sct", "code_key")
+        rows = rows.join(both[0], "code_key", "left").join(both[1], "code_key", "left").drop("code_key")
         rows = rows.withColumns({
             "present": F.coalesce("found", F.lit(False)), "status": finding_status(F.col("found"), F.col("active"), F.col("is_finding"), F.col("is_finding_hist")),
             "exact": lexical_match(F.col("norms"), F.col("text")), "contained": lexical_match(F.col("norms"), F.col("text"), "contained"),
@@ -131,19 +136,46 @@ def apply_abstention(records: DataFrame, cfg: dict[str, Any] | None = None) -> D
     return rows.withColumns({"zone": F.col("d.zone"), "reason": F.col("d.reason")}).drop("d")
 
 
+def _entered(rung: int, was: Column) -> Column:
+    entry = F.struct(F.lit(rung).alias("rung"), was.alias("from"), F.col("zone").alias("to"), F.col("reason").alias("reason"))
+    return F.when(was != F.col("zone"), F.array_append(F.coalesce("provenance", F.array().cast(_HISTORY)), entry)).otherwise(F.col("provenance"))
+
+
 def marked(rung: int, before: DataFrame, after: DataFrame) -> DataFrame:
     """after with an entry of (stage, from, to, reason) in its provenance where the zone changed."""
     was = before.select("record_id", F.col("zone").alias("was"))
-    entry = F.struct(F.lit(rung).alias("rung"), F.col("was").alias("from"), F.col("zone").alias("to"), F.col("reason").alias("reason"))
-    return after.join(was, "record_id", "left").withColumn("provenance", F.when(F.col("was") != F.col("zone"), F.array_append(F.coalesce("provenance", F.array().cast("array<struct<rung:int,from:string,to:string,reason:string>>")), entry)).otherwise(F.col("provenance"))).drop("was")
+    return after.join(was, "record_id", "left").withColumn("provenance", _entered(rung, F.col("was"))).drop("was")
 
 
+_HISTORY = "array<struct<rung:int,from:string,to:string,reason:string>>"
 Stage = Callable[[DataFrame, dict[str, Any]], DataFrame]
 #: Stages by number; numbers without one are reported as missing, never made up.
 STAGES: dict[int, Stage] = {1: lambda df, ctx: apply_checks(df, ctx.get(1)), 2: lambda df, ctx: apply_abstention(df, ctx.get(2))}
 NAMES = {0: "extraction", 1: "deterministic", 2: "abstention", 3: "retrieval", 4: "model", 5: "ensemble", 6: "human"}
 
 
+def load(n: int, package: str = "sieveworks_stages") -> Stage | None:
+    """Stage n: one of this package, else `apply` of the module r<n> of another one. None only if that very module is missing; what fails inside it fails here."""
+    if n in STAGES:
+        return STAGES[n]
+    try:
+        return importlib.import_module(f"{package}.r{n}").apply
+    except ModuleNotFoundError as e:
+        if e.name in (package, f"{package}.r{n}"):
+            return None
+        raise
+
+
+def _with_history(rung: int, before: DataFrame, stage: Stage, settings: dict[int, dict[str, Any]]) -> DataFrame:
+    """What the stage leaves, with an entry in the provenance of records whose zone changed."""
+    if "provenance" not in before.columns:
+        return stage(before, settings)
+    after = stage(before.withColumn("zone_before", F.col("zone")), settings)
+    if "zone_before" not in after.columns:
+        return marked(rung, before, after)
+    return after.withColumn("provenance", _entered(rung, F.col("zone_before"))).drop("zone_before")
+
+
 @dataclass
 class Run:
     """Lazy frames after each stage that ran, in order, and the stages that were asked for but don't exist."""
@@ -154,13 +186,14 @@ class Run:
 
 
 def run(enriched: DataFrame, order: list[int], asked: list[int], settings: dict[int, dict[str, Any]] | None = None) -> Run:
-    """The asked stages in the settings' order, each on what the one before left."""
+    """The asked stages in the settings' order, each on what the one before left; provenance grows where zones change."""
     out, frame = Run(), enriched
     for n in (n for n in order if n in asked):
-        if n not in STAGES:
+        stage = load(n)
+        if stage is None:
             out.missing.append(n)
             continue
-        frame = STAGES[n](frame, settings or {})
+        frame = _with_history(n, frame, stage, settings or {})
         out.order.append(n)
         out.snapshots[n] = frame
     return out
@@ -170,10 +203,10 @@ def ablate(enriched: DataFrame, asked: list[int], settings: dict[int, dict[str,
     """Each stage alone on the same input (stage 0, which makes the input, is left out), beside the input itself."""
     out = Run(["input"], {"input": enriched.withColumns({"r1_verdict": F.lit(None).cast("string"), "r1_reason": F.lit(None).cast("string")})})
     for n in asked:
-        if n and n in STAGES:
+        if n and (stage := load(n)):
             frame = enriched if n == 1 else out.snapshots["input"]
             out.order.append(n)
-            out.snapshots[n] = STAGES[n](frame, settings or {})
+            out.snapshots[n] = _with_history(n, frame, stage, settings or {})
         elif n:
             out.missing.append(n)
     return out

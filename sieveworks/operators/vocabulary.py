@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +15,8 @@ from ..functions import text as X
 FINDING_ROOT = "404684003"
 #: Fixed value: the module of the international edition.
 INTERNATIONAL = "900000000000207008"
+#: Fixed value: what is said of a code list that is the answer key's own.
+CAVEAT = "every code in this table appears in the gold annotations and none do not: it is the answer key's code inventory, not a vocabulary"
 STATUSES = ("finding", "not_finding", "unknown")
 
 
@@ -92,11 +95,25 @@ def restricted(v: Vocabulary, concepts_with_module: DataFrame, international: st
     return Vocabulary(v.concept.join(seen, "id", "left_semi"), v.terms.join(seen, v.terms["concept_id"] == seen["id"], "left_semi"), "remote", v.release, True)
 
 
+_selected: dict[tuple, Vocabulary] = {}
+
+
 def select(local: Callable[[], Vocabulary | None], remote: Callable[[], Vocabulary], prefer: str = "local") -> Vocabulary:
-    """The preferred backend if it is there, else the other one; an incomplete one fails here, not in a plan."""
-    chosen = (local() if prefer == "local" else None) or remote()
+    """The preferred backend if it is there, else the other one, with a warning; an incomplete one fails here, not in a plan.
+
+    With the default preference the choice is remembered for the process, by what would load it.
+    """
+    if prefer == "local" and (local, remote) in _selected:
+        return _selected[local, remote]
+    chosen = local() if prefer == "local" else None
+    if chosen is None:
+        chosen = remote()
+        if chosen.lossy:
+            warnings.warn(f"vocabulary {chosen.name}: active international concepts only, so codes of extensions and retired ones count as unknown", stacklevel=2)
     if missing := conforms(chosen):
         raise TypeError(f"the vocabulary {chosen.name} lacks {', '.join(missing)}")
+    if prefer == "local":
+        _selected[local, remote] = chosen
     return chosen
 
 
@@ -116,6 +133,12 @@ def lexical_match(norms: Column, text: Column, mode: str = "exact") -> Column:
     return F.coalesce((want != "") & F.exists(norms, lambda t: (t == want) | ((F.size(X.norm_words(t)) > 0) & inside(t))), F.lit(False))
 
 
+def term_match(term: Column, text: Column, mode: str = "exact") -> Column:
+    """lexical_match against the one term of another code list; false without a term."""
+    norm = X.normalise_term(F.coalesce(term, F.lit("")))
+    return lexical_match(F.when(norm != "", F.array(norm)), text, mode)
+
+
 def plain_lexical_match(terms: Column, text: Column) -> Column:
     """Equality up to case and spacing only, as the remote service compares."""
     same = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
@@ -152,7 +175,7 @@ def jaccard_search(codes: DataFrame, queries: DataFrame, k: int = 5, mode: str =
     shared = q.select("query", F.size("words").alias("nq"), F.explode("words").alias("word")).join(c.select("code", F.size("words").alias("nc"), F.explode("words").alias("word")), "word")
     scored = shared.groupBy("query", "code").agg((F.count("*") / (F.first("nq") + F.first("nc") - F.count("*"))).alias("score"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "code"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k)
+    return scored.withColumn("place", place).filter(F.col("place") <= k).withColumn("score", F.bround("score", 3))
 
 
 def agreement(m: Column, s: Column) -> Column:
@@ -166,4 +189,4 @@ def leakage(table: DataFrame, gold_codes: DataFrame) -> DataFrame:
     """How much of a code list is the answer key's own inventory."""
     own, gold = table.select("code").distinct(), gold_codes.select("code").distinct().withColumn("hit", F.lit(1))
     counted = own.join(gold, "code", "left").agg(F.count("*").alias("n_codes"), F.count("hit").alias("n_also_in_gold"))
-    return counted.select("n_codes", "n_also_in_gold", (F.col("n_codes") - F.col("n_also_in_gold")).alias("n_independent_of_gold"), (F.col("n_codes") == F.col("n_also_in_gold")).alias("derived_from_gold"))
+    return counted.select("n_codes", "n_also_in_gold", (F.col("n_codes") - F.col("n_also_in_gold")).alias("n_independent_of_gold"), (F.col("n_codes") == F.col("n_also_in_gold")).alias("derived_from_gold")).withColumn("caveat", F.when(F.col("derived_from_gold"), F.lit(CAVEAT)))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import stages, vocabulary
+from ..session import shared_folder
 
 ROOT = "1000002"
 _built: dict[tuple[str, str], vocabulary.Vocabulary] = {}
@@ -18,17 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ready(spark: SparkSession) -> None:
-    """checkpoint() needs a folder: the session's, or a temporary one where it names none, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieveworks-"))
-
-
 def raw_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mention planted in each document: k picks the kind of flaw, the source text is made around a part's name."""
+    """A mention planted after each whole document: k picks the kind of flaw, the mention is a part's name."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.col("p_name").alias("term"))
     count = part.agg(F.count("*").alias("np"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("pre")).join(F.broadcast(count)).withColumn("pk", F.col("doc_id") * 7 % F.col("np"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("pre")).join(F.broadcast(count)).withColumn("pk", F.col("doc_id") * 7 % F.col("np"))
     rows = docs.join(part, "pk").withColumn("k", (F.col("doc_id") % 20).cast("int"))
     k = F.col("k")
     cue = F.when(k == 8, ". A bit ").when(k == 10, ". So far no ").when(k == 11, ". There is no doubt that ").when(k == 12, ". No rash, but ").when(k == 13, ". Denied rash but ").otherwise(". Had ")
@@ -83,7 +76,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> vocabulary.Vocabulary:
     """The vocabulary of a folder, built once in a session: its closure is materialised, its terms are lazy."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        _ready(spark)
+        shared_folder(spark)
         flagged = vocabulary.with_findings(concepts(spark, sf_dir), edges(spark, sf_dir), ROOT).checkpoint()
         _built[key] = vocabulary.Vocabulary(flagged, vocabulary.term_arrays(descriptions(spark, sf_dir)), "local", sf_dir)
     return _built[key]

@@ -30,7 +30,7 @@ norm, bag, norm_words = _NORM.format, _BAG.format, _WORDS.format
 _BASE = f"""
 WITH RECURSIVE n AS (SELECT count(*) AS np FROM part),
 b AS (
-  SELECT d.doc_id, d.doc_id % 20 AS k, substring(d.text, 1, 60) AS pre, p.p_name AS term, p.p_partkey AS pk
+  SELECT d.doc_id, d.doc_id % 20 AS k, coalesce(d.text, '') AS pre, p.p_name AS term, p.p_partkey AS pk
   FROM documents d CROSS JOIN n JOIN part p ON p.p_partkey = (d.doc_id * 7) % n.np
 ), c AS (
   SELECT *, CASE k WHEN 8 THEN '. A bit ' WHEN 10 THEN '. So far no ' WHEN 11 THEN '. There is no doubt that ' WHEN 12 THEN '. No rash, but ' WHEN 13 THEN '. Denied rash but ' ELSE '. Had ' END AS cue FROM b
@@ -130,14 +130,14 @@ def span_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.coalesce(X.span_reason(F.col("entity_type"), F.col("spans"), F.col("text"), F.col("source")), F.lit("ok")).alias("outcome"))
 
 
-@query(f"SELECT doc_id, array_to_string({bag('text')}, ' ') AS words FROM rec WHERE k IN (3, 8, 9)")
+@query(f"SELECT doc_id, array_to_string({bag('text')}, ' ') AS words FROM rec ")
 def token_bag_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.records(spark, sf_dir).filter("k in (3, 8, 9)").select("doc_id", F.array_join(X.token_bag(F.col("text")), " ").alias("words"))
+    return B.records(spark, sf_dir).select("doc_id", F.array_join(X.token_bag(F.col("text")), " ").alias("words"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(substring(src, greatest(s - 45, 0) + 1, e + 45 - greatest(s - 45, 0)), '\s+', ' ', 'g')) AS snippet FROM rec WHERE s >= 0 AND e <= length(src)")
+@query(r"SELECT doc_id, trim(regexp_replace(substring(src, greatest(s - 45, 0) + 1, e + 45 - greatest(s - 45, 0)), '\s+', ' ', 'g')) AS snippet FROM rec")
 def context_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = B.raw_mentions(spark, sf_dir).filter("s >= 0 and e <= length(source)")
+    r = B.raw_mentions(spark, sf_dir)
     return r.select("doc_id", X.context(F.col("source"), F.array(F.struct("s", "e"))).alias("snippet"))
 
 
@@ -188,9 +188,9 @@ def lexical_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.enriched(spark, sf_dir).select("doc_id", "contained")
 
 
-@query("SELECT q.doc_id AS query_doc, count(DISTINCT des.concept_id)::BIGINT AS n_codes, min(des.concept_id) AS first_code FROM rec q JOIN des ON des.norm = " + norm("q.text") + " WHERE q.n_doc % 10 = 8 OR q.n_doc % 10 = 9 GROUP BY q.doc_id")
+@query("SELECT q.doc_id AS query_doc, count(DISTINCT des.concept_id)::BIGINT AS n_codes, min(des.concept_id) AS first_code FROM rec q JOIN des ON des.norm = " + norm("q.text") + " GROUP BY q.doc_id")
 def term_reverse_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = B.raw_mentions(spark, sf_dir).filter("n_doc % 10 in (8, 9)").select("doc_id", F.col("text").alias("query"))
+    q = B.raw_mentions(spark, sf_dir).select("doc_id", F.col("text").alias("query"))
     found = vocabulary.codes_for_terms(B.descriptions(spark, sf_dir), q.select("query").distinct())
     return q.join(found, "query").groupBy(F.col("doc_id").alias("query_doc")).agg(F.countDistinct("code").alias("n_codes"), F.min("code").alias("first_code"))
 
@@ -217,7 +217,7 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT query, code, place::INT AS place, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS place FROM (
+    f"""SELECT query, code, place::INT AS place, round_even(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS place FROM (
     SELECT q.term AS query, c.code, len(list_intersect({norm_words(norm('q.term'))}, {norm_words(norm('c.term'))}))::DOUBLE / len(list_distinct(list_concat({norm_words(norm('q.term'))}, {norm_words(norm('c.term'))}))) AS score
     FROM {_PLACES} q CROSS JOIN {_PLACES} c) WHERE score > 0) WHERE place <= 5"""
 )
@@ -231,32 +231,66 @@ def meddra_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.enriched(spark, sf_dir).select("doc_id", "meddra_present", "meddra_term")
 
 
+@query(
+    f"""SELECT doc_id, coalesce({norm('text')} <> '' AND {norm('meddra_term')} = {norm('text')}, false) AS exact, coalesce({norm('text')} <> '' AND {norm('meddra_term')} <> '' AND
+    (len(list_filter({norm_words(norm('text'))}, lambda w: NOT list_contains({norm_words(norm('meddra_term'))}, w))) = 0 OR len(list_filter({norm_words(norm('meddra_term'))}, lambda w: NOT list_contains({norm_words(norm('text'))}, w))) = 0), false) AS contained
+    FROM (SELECT doc_id, CASE WHEN n_doc % 2 = 0 THEN 'the ' || lower(meddra_term) ELSE text END AS text, meddra_term FROM en)"""
+)
+def meddra_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("n_doc") % 2 == 0, F.concat(F.lit("the "), F.lower("meddra_term"))).otherwise(F.col("text"))
+    return B.enriched(spark, sf_dir).select("doc_id", *(vocabulary.term_match(F.col("meddra_term"), said, m).alias(m) for m in ("exact", "contained")))
+
+
 @query(f"SELECT doc_id, CASE WHEN meddra_term IS NULL OR preferred IS NULL THEN NULL ELSE len(list_intersect({norm_words(norm('meddra_term'))}, {norm_words(norm('preferred'))})) > 0 END AS agrees FROM en")
 def cross_vocabulary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.enriched(spark, sf_dir).select("doc_id", vocabulary.agreement(F.col("meddra_term"), F.col("preferred")).alias("agrees"))
 
 
-@query("SELECT count(*)::BIGINT AS n_codes, count(g.meddra)::BIGINT AS n_also_in_gold, (count(*) - count(g.meddra))::BIGINT AS n_independent_of_gold, count(*) = count(g.meddra) AS derived_from_gold FROM med LEFT JOIN (SELECT DISTINCT meddra FROM rec WHERE n_doc % 2 = 0) g ON g.meddra = med.code")
+@query("SELECT count(*)::BIGINT AS n_codes, count(g.meddra)::BIGINT AS n_also_in_gold, (count(*) - count(g.meddra))::BIGINT AS n_independent_of_gold, " + f"count(*) = count(g.meddra) AS derived_from_gold, CASE WHEN count(*) = count(g.meddra) THEN '{vocabulary.CAVEAT.replace(chr(39), chr(39) * 2)}' END AS caveat FROM med LEFT JOIN (SELECT DISTINCT meddra FROM rec) g ON g.meddra = med.code")
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = B.raw_mentions(spark, sf_dir).filter("n_doc % 2 = 0 and meddra is not null").select(F.col("meddra").alias("code"))
+    gold = B.raw_mentions(spark, sf_dir).filter("meddra is not null").select(F.col("meddra").alias("code"))
     return vocabulary.leakage(B.code_list(spark, sf_dir), gold)
 
 
+_CLASS = "CASE WHEN NOT present THEN 'absent' WHEN NOT active THEN 'retired' WHEN international THEN 'both' ELSE 'extension' END"
+
+
 @query("SELECT class, entity_type, count(*)::BIGINT AS n FROM (SELECT entity_type, CASE WHEN NOT present THEN 'absent' WHEN NOT active THEN 'retired' WHEN international THEN 'both' ELSE 'extension' END AS class FROM en WHERE coalesce(sct, '') NOT IN ('', 'CONCEPT_LESS')) GROUP BY ALL")
 def crosscheck_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classes(spark, sf_dir).groupBy("class", "entity_type").agg(F.count("*").alias("n"))
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = B.concepts(spark, sf_dir).select(F.col("id").alias("sct"), "active", (F.col("module_id") == vocabulary.INTERNATIONAL).alias("international"), F.lit(True).alias("present"))
     rows = B.records(spark, sf_dir).filter("coalesce(sct, '') not in ('', 'CONCEPT_LESS')").join(c, "sct", "left")
-    return rows.groupBy(diagnosis.backend_class(F.col("present"), F.col("active"), F.col("international")).alias("class"), "entity_type").agg(F.count("*").alias("n"))
+    return rows.select("sct", "entity_type", diagnosis.backend_class(F.col("present"), F.col("active"), F.col("international")).alias("class"))
+
+
+@query(
+    f"""SELECT entity_type, count(*)::BIGINT AS n, count(*) FILTER (class <> 'both')::BIGINT AS invisible, round_even(100.0::DOUBLE * count(*) FILTER (class <> 'both') / count(*), 2) AS pct FROM (
+    SELECT unnest(['all', entity_type]) AS entity_type, {_CLASS} AS class FROM en WHERE coalesce(sct, '') NOT IN ('', 'CONCEPT_LESS')) GROUP BY 1"""
+)
+def crosscheck_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.invisible(crosscheck_classes(spark, sf_dir))
+
+
+@query("SELECT sct AS code, row_number() OVER (ORDER BY md5('42|' || sct), sct)::INT AS place FROM (SELECT DISTINCT sct FROM rec WHERE coalesce(sct, '') NOT IN ('', 'CONCEPT_LESS')) QUALIFY place <= 40")
+def code_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.sample_codes(_classes(spark, sf_dir).select(F.col("sct").alias("code")), 40)
 
 
-@query("SELECT count(*)::BIGINT AS sampled, count(*) FILTER (present = (present AND active AND international))::BIGINT AS agreed FROM (SELECT DISTINCT sct, present, coalesce(active, false) AS active, coalesce(international, false) AS international FROM en WHERE coalesce(sct, '') NOT IN ('', 'CONCEPT_LESS'))")
+@query(
+    f"""SELECT count(*)::BIGINT AS sampled, count(*) FILTER (present = there)::BIGINT AS agreed, count(*) FILTER (there = (class = 'both'))::BIGINT AS predicted_correct, coalesce(array_to_string(list_sort(list(sct) FILTER (present <> there)), ','), '') AS disagreements
+    FROM (SELECT DISTINCT sct, present, coalesce(present AND active AND international, false) AS there, {_CLASS} AS class FROM en WHERE coalesce(sct, '') NOT IN ('', 'CONCEPT_LESS'))"""
+)
 def lossy_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = B.vocab(spark, sf_dir)
     remote = vocabulary.restricted(v, B.concepts(spark, sf_dir))
-    codes = B.records(spark, sf_dir).filter("coalesce(sct, '') not in ('', 'CONCEPT_LESS')").select(F.col("sct").alias("id")).distinct()
+    codes = _classes(spark, sf_dir).select(F.col("sct").alias("id"), "class").distinct()
     here, there = v.concept.select("id", F.lit(True).alias("here")), remote.concept.select("id", F.lit(True).alias("there"))
     both = codes.join(here, "id", "left").join(there, "id", "left")
-    return both.agg(F.count("*").alias("sampled"), F.count_if(F.col("here").isNotNull() == (F.col("there").isNotNull() & vocabulary.code_shape(F.col("id")))).alias("agreed"))
+    found = diagnosis.cross_checked(both.select(F.col("id").alias("code"), F.col("here").isNotNull().alias("here"), (F.col("there").isNotNull() & vocabulary.code_shape(F.col("id"))).alias("there"), "class"))
+    return found.withColumn("disagreements", F.array_join("disagreements", ","))
 
 
 @query(f"SELECT doc_id, coalesce(len(list_filter(list_value(p_name, p_brand), lambda t: trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) = trim(regexp_replace(lower(rec.text), '\\s+', ' ', 'g')))) > 0, false) AS same FROM rec LEFT JOIN con ON con.id = rec.sct")
@@ -268,16 +302,43 @@ def plain_lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Stage 1
 
 
-@query()
+def _negation_sql() -> str:
+    """The cue of every mention (doc_id, cue), over lists of tokens."""
+    listed = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    letter = r"[\p{L}\p{M}\p{N}_'']"
+    tokens = lambda x: f"regexp_extract_all(lower({x}), '{letter}+|[.;:!?,]')"
+    halved = lambda at: f"({at} > 0 AND regexp_matches(substring(src, {at}, 1), '^{letter}$') AND regexp_matches(substring(src, {at} + 1, 1), '^{letter}$'))"
+    until = lambda x, stops: f"{x}[1:coalesce(list_filter(range(1, len({x}) + 1), lambda i: list_contains({listed(stops)}, {x}[i]))[1] - 1, len({x}))]"
+    first = lambda x, test: f"list_filter({x}, lambda t: {test})[1]"
+    direct = listed(c for c in N.CUES if c not in N.FORWARD_ONLY)
+    return f"""(SELECT doc_id, CASE WHEN span_reason IS NULL AND NOT pseudo THEN coalesce(CASE WHEN list_contains({direct}, back) THEN back WHEN back IS NOT NULL THEN 'n''t' END, far, trail) END AS cue FROM (
+      SELECT doc_id, span_reason, len(list_filter({listed(N.PSEUDO)}, lambda p: contains(near, p))) > 0 AS pseudo, {first(until('l6', N.SENTENCE_END + N.TERMINATORS), f"list_contains({direct}, t) OR ends_with(t, 'n''t')")} AS back,
+        {first(until('l18', N.SENTENCE_END), f"list_contains({listed(N.FORWARD_ONLY)}, t)")} AS far, {first(until('r3', N.SENTENCE_END), f"list_contains({listed(N.TRAILING)}, t)")} AS trail
+      FROM (SELECT *, ls[1:6] AS l6, ls[1:18] AS l18, rs[1:3] AS r3 FROM (
+        SELECT doc_id, span_reason, substring(lower(src), greatest(s - 40, 0) + 1, least(s, 40)) AS near, list_reverse(CASE WHEN {halved('s')} THEN lt[1:len(lt) - 1] ELSE lt END) AS ls, CASE WHEN {halved('e')} THEN rt[2:] ELSE rt END AS rs
+        FROM (SELECT *, {tokens('substring(src, 1, s)')} AS lt, {tokens('substring(src, e + 1)')} AS rt FROM en WHERE span_reason IS NULL)))
+    ))"""
+
+
+@query(f"SELECT en.doc_id, cue IS NOT NULL AS negated, cue FROM en LEFT JOIN {_negation_sql()} c USING (doc_id)")
 def negation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.enriched(spark, sf_dir).select("doc_id", F.col("cue").isNotNull().alias("negated"), "cue")
 
 
-@query()
+@query(f"SELECT cue, count(*)::BIGINT AS n FROM {_negation_sql()} WHERE cue IS NOT NULL GROUP BY 1")
 def negation_cue_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.enriched(spark, sf_dir).filter("cue is not null").groupBy("cue").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""SELECT count(*)::BIGINT AS n, count(*) FILTER (coalesce(sct, '') NOT IN ('', 'CONCEPT_LESS') AND present AND NOT active)::BIGINT AS inactive_seen, count(cue)::BIGINT AS negated_flagged,
+    count(*) FILTER (sct = 'CONCEPT_LESS' AND verdict = 'ACCEPT')::BIGINT AS concept_less_accept, count(*) FILTER (sct = 'CONCEPT_LESS' AND verdict = 'BAND')::BIGINT AS concept_less_band, count(*) FILTER (sct = 'CONCEPT_LESS' AND verdict = 'REJECT')::BIGINT AS concept_less_reject
+    FROM ju LEFT JOIN {_negation_sql()} c USING (doc_id)"""
+)
+def calibrate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.counted(B.enriched(spark, sf_dir))
+
+
 @query("SELECT verdict, coalesce(reason, '') AS reason, count(*)::BIGINT AS n FROM ju GROUP BY ALL")
 def r1_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = B.enriched(spark, sf_dir).select(stages.verdict().alias("v"))
@@ -394,6 +455,17 @@ def ledger_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.histogram(B.ledger(spark, sf_dir), "reason")
 
 
+@query("SELECT rung, zone, n, row_number() OVER (PARTITION BY rung ORDER BY n DESC, zone)::INT AS place FROM (SELECT rung, zone, count(*)::BIGINT AS n FROM led GROUP BY ALL)")
+def ledger_zones_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.ranked(ledger.histogram(B.ledger(spark, sf_dir), "zone"), ["rung"])
+
+
+@query("SELECT rung, (3 * sum(tk))::BIGINT AS tokens, round(sum(tk * 0.25 + 2 * tk * 1.25)::DOUBLE / 1000000, 9) AS usd FROM led GROUP BY rung")
+def token_dollars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.ledger(spark, sf_dir).groupBy("rung").agg(F.sum("tokens_in").alias("a"), F.sum("tokens_out").alias("b"))
+    return rows.select("rung", (F.col("a") + F.col("b")).alias("tokens"), F.round(X.dollars(F.col("a"), F.col("b"), 0.25, 1.25), 9).alias("usd"))
+
+
 @query("SELECT rung, zone, count(*)::BIGINT AS n FROM led GROUP BY ALL")
 def ledger_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.histogram(B.ledger(spark, sf_dir), "zone")
@@ -416,9 +488,9 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first
 
 
-@query(_SNAPS)
+@query(f"SELECT *, coalesce(answered::DOUBLE / nullif(n_records, 0), 0) AS coverage, coalesce(correct::DOUBLE / nullif(n_records, 0), 0) AS yield, coalesce(correct::DOUBLE / nullif(answered, 0), 0) AS f1_sct_strict, coalesce(100 * (answered - correct)::DOUBLE / nullif(n_records, 0), 0) AS err_per_100 FROM ({_SNAPS})")
 def results_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(spark, sf_dir).select("rung", "place", "n_records", "accept", "band", "reject", "abstained", "settled", "answered", "correct")
+    return _counted(spark, sf_dir).select("rung", "place", "n_records", "accept", "band", "reject", "abstained", "settled", "answered", "correct", "coverage", "yield", "f1_sct_strict", "err_per_100")
 
 
 @query(
@@ -454,38 +526,48 @@ def _matched(spark: SparkSession, sf_dir: str, threshold: float, matcher: str =
     return alignment.align(B.predicted_mentions(spark, sf_dir), B.gold_mentions(spark, sf_dir), threshold, matcher)
 
 
-@query()
+def _chosen_sql(levels: str) -> str:
+    """Greedy matches (t, doc_id, i, j, iou, pcode, gcode, kind) at each level. A document has two mentions a side at most, so that after the first pair one other can be left."""
+    placed = f"(SELECT t, p.*, row_number() OVER (PARTITION BY t, doc_id ORDER BY iou DESC, i, j) AS place FROM pairs p JOIN {levels} ON iou >= t AND iou > 0)"
+    return f"(SELECT * FROM {placed} WHERE place = 1 UNION ALL SELECT b.* FROM {placed} a JOIN {placed} b ON a.t = b.t AND a.doc_id = b.doc_id AND a.place = 1 AND a.i <> b.i AND a.j <> b.j)"
+
+
+_HALF = "(SELECT 0.5::DOUBLE AS t) x"
+_LEVELS = "(SELECT t / 10.0::DOUBLE AS t FROM range(1, 10) r(t)) x"
+_GRADABLE = "kind <> 'concept_less' AND gcode IS NOT NULL"
+
+
+def _score_sql(levels: str, chosen: str) -> str:
+    return f"""SELECT *, coalesce(2 * span_precision * span_recall / nullif(span_precision + span_recall, 0), 0) AS span_f1, code_correct::DOUBLE / nullif(code_correct + code_wrong, 0) AS code_accuracy, code_correct::DOUBLE / nullif(gold_gradable, 0) AS code_recall FROM (
+      SELECT *, n_pred - span_matched AS spurious, n_gold - span_matched AS missed, coalesce(span_matched::DOUBLE / nullif(n_pred, 0), 0) AS span_precision, coalesce(span_matched::DOUBLE / nullif(n_gold, 0), 0) AS span_recall FROM (
+        SELECT x.t AS threshold, count(m.doc_id)::BIGINT AS span_matched, count(m.doc_id) FILTER ({_GRADABLE} AND coalesce(pcode, '') = gcode)::BIGINT AS code_correct, count(m.doc_id) FILTER ({_GRADABLE} AND coalesce(pcode, '') <> gcode)::BIGINT AS code_wrong,
+          count(m.doc_id) FILTER (NOT ({_GRADABLE}))::BIGINT AS matched_ungradable, (SELECT count(*) FROM gold)::BIGINT AS n_gold, (SELECT count(*) FILTER (kind <> 'concept_less' AND code IS NOT NULL) FROM gold)::BIGINT AS gold_gradable, (SELECT count(*) FROM pred)::BIGINT AS n_pred
+        FROM {levels} LEFT JOIN {chosen} m ON m.t = x.t GROUP BY x.t))"""
+
+
+@query(f"SELECT doc_id, i, j, iou, 'greedy' AS matcher FROM {_chosen_sql(_HALF)}")
 def align_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, 0.5)
 
 
-@query()
+@query(
+    """SELECT * FROM (SELECT doc_id, unnest([i, i2]) AS i, unnest([j, j2]) AS j, unnest([iou, iou2]) AS iou, 'optimal' AS matcher FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY iou + coalesce(iou2, 0) DESC, i2 IS NULL, i, j) AS place FROM (
+        SELECT a.doc_id, a.i, a.j, a.iou, NULL::INT AS i2, NULL::INT AS j2, NULL::DOUBLE AS iou2 FROM pairs a WHERE a.iou >= 0.5
+        UNION ALL SELECT a.doc_id, a.i, a.j, a.iou, b.i, b.j, b.iou FROM pairs a JOIN pairs b ON a.doc_id = b.doc_id AND a.i < b.i AND a.j <> b.j AND a.iou >= 0.5 AND b.iou >= 0.5
+      ) QUALIFY place = 1)) WHERE i IS NOT NULL"""
+)
 def align_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, 0.5, "optimal")
 
 
-@query()
+@query(f"SELECT * EXCLUDE (threshold) FROM ({_score_sql(_HALF, _chosen_sql(_HALF))})")
 def span_code_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.score(B.predicted_mentions(spark, sf_dir), B.gold_mentions(spark, sf_dir), _matched(spark, sf_dir, 0.5))
 
 
-_ONE = "(SELECT doc_id FROM pred GROUP BY doc_id HAVING count(*) = 1) p1 JOIN (SELECT doc_id FROM gold GROUP BY doc_id HAVING count(*) = 1) g1 USING (doc_id)"
-
-
-@query(f"SELECT t / 10.0::DOUBLE AS threshold, count(*)::BIGINT AS matched, count(*) FILTER (kind <> 'concept_less' AND gcode IS NOT NULL AND pcode = gcode)::BIGINT AS code_correct FROM pairs JOIN (SELECT doc_id FROM {_ONE}) USING (doc_id) CROSS JOIN range(1, 10) r(t) WHERE iou >= t / 10.0::DOUBLE GROUP BY t")
+@query(_score_sql(_LEVELS, _chosen_sql(_LEVELS)))
 def theta_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with one mention on either side, where every matcher is the same: one candidate pass serves all thresholds."""
-    p, g = B.predicted_mentions(spark, sf_dir), B.gold_mentions(spark, sf_dir)
-    alone = lambda df: df.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1").select("doc_id")
-    p, g = p.join(alone(p), "doc_id").join(alone(g), "doc_id"), g
-    pairs = alignment.candidates(p, g, 0.1).withColumn("threshold", F.explode(F.array(*(F.lit(t / 10) for t in range(1, 10))))).filter("iou >= threshold")
-    rows = pairs.join(p.select("doc_id", "i", "code"), ["doc_id", "i"]).join(g.select("doc_id", "j", "sct", "gold_kind"), ["doc_id", "j"])
-    right = F.col("gold_kind").isin(*schema.GRADABLE_KINDS) & F.coalesce(F.array_contains("sct", F.col("code")), F.lit(False))
-    return rows.groupBy("threshold").agg(F.count("*").alias("matched"), F.count_if(right).alias("code_correct"))
-
-
-@query()
-def theta_sweep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, aligned and scored at each threshold."""
     return alignment.sweep_table(B.predicted_mentions(spark, sf_dir), B.gold_mentions(spark, sf_dir), [t / 10 for t in range(1, 10)])
 
@@ -595,7 +677,7 @@ def example_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _planted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     v = B.vocab(spark, sf_dir)
-    records = B.records(spark, sf_dir).filter("k >= 7")
+    records = B.records(spark, sf_dir)
     none = spark.createDataFrame([], "code string, place long, sibling string")
     near = none
     if kind == "sibling_wrong":
@@ -608,12 +690,12 @@ def _planted(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def _probe_sql(kind: str, changed: str, skipped: str, joins: str = "") -> str:
     """Counts after a fault; `changed` gives sct, s, e, text and meddra of the faulty record."""
-    return f"""SELECT kind, entity_type, count(*) FILTER (NOT skipped)::BIGINT AS n, count(*) FILTER (skipped)::BIGINT AS skipped, count(*) FILTER (NOT skipped AND verdict = 'REJECT')::BIGINT AS rejected,
+    return f"""SELECT *, coalesce(rejected::DOUBLE / nullif(n, 0), 0) AS detection_rate, coalesce(accepted::DOUBLE / nullif(n, 0), 0) AS wrongly_accepted_rate FROM (SELECT kind, entity_type, count(*) FILTER (NOT skipped)::BIGINT AS n, count(*) FILTER (skipped)::BIGINT AS skipped, count(*) FILTER (NOT skipped AND verdict = 'REJECT')::BIGINT AS rejected,
       count(*) FILTER (NOT skipped AND verdict = 'BAND')::BIGINT AS banded, count(*) FILTER (NOT skipped AND verdict = 'ACCEPT')::BIGINT AS accepted FROM (
       SELECT '{kind}' AS kind, f.entity_type, skipped, CASE WHEN len({bag('ftext')}) = 0 OR fs < 0 OR fe <= fs OR fe > length(src) OR {bag('substring(src, fs + 1, fe - fs)')} <> {bag('ftext')} THEN 'REJECT' WHEN con.id IS NULL THEN 'REJECT'
         WHEN f.entity_type = 'reaction' AND NOT is_now AND con.active THEN 'REJECT' WHEN '{kind}' = 'meddra_hallucinated' AND fmed IS NOT NULL AND med.code IS NULL THEN 'REJECT'
         WHEN list_contains(norms, {norm('ftext')}) AND {norm('ftext')} <> '' THEN 'ACCEPT' ELSE 'BAND' END AS verdict
-      FROM (SELECT rec.*, {changed}, {skipped} AS skipped FROM rec {joins} WHERE k >= 7) f LEFT JOIN con ON con.id = fsct LEFT JOIN tm ON tm.concept_id = fsct LEFT JOIN med ON med.code = fmed) GROUP BY ALL"""
+      FROM (SELECT rec.*, {changed}, {skipped} AS skipped FROM rec {joins} WHERE {_CODED}) f LEFT JOIN con ON con.id = fsct LEFT JOIN tm ON tm.concept_id = fsct LEFT JOIN med ON med.code = fmed) GROUP BY ALL)"""
 
 
 def _draw_sql(kind: str, n: str) -> str:
@@ -637,7 +719,7 @@ _PROBES = {
     "sibling_wrong": _probe_sql(
         "sibling_wrong", f"coalesce(q.sibling, sct) AS fsct, {_SAME}", "q.sibling IS NULL",
         f"LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY code) AS size FROM (SELECT code, sibling, row_number() OVER (PARTITION BY code ORDER BY sibling) - 1 AS place FROM (SELECT DISTINCT t.concept_id AS code, d.concept_id AS sibling FROM tm t "
-        "JOIN (SELECT DISTINCT sct FROM rec WHERE k >= 7) u ON u.sct = t.concept_id JOIN des d ON ends_with(d.norm, lower(split_part(t.preferred, ' ', -1))) AND d.concept_id <> t.concept_id "
+        "JOIN (SELECT DISTINCT sct FROM rec) u ON u.sct = t.concept_id JOIN des d ON ends_with(d.norm, lower(split_part(t.preferred, ' ', -1))) AND d.concept_id <> t.concept_id "
         "JOIN con ON con.id = d.concept_id AND con.is_now AND con.active WHERE length(split_part(t.preferred, ' ', -1)) >= 4)) WHERE place < 8) q ON q.code = rec.sct AND q.place = " + _draw_sql("sibling_wrong", "q.size"),
     ),
 }
@@ -647,12 +729,12 @@ for _i, _kind in enumerate(diagnosis.FAULTS, 1):
 
 
 @query(
-    "SELECT t.concept_id AS code, count(DISTINCT d.concept_id)::BIGINT AS n FROM tm t JOIN (SELECT DISTINCT sct FROM rec WHERE k >= 7) u ON u.sct = t.concept_id JOIN des d ON ends_with(d.norm, lower(split_part(t.preferred, ' ', -1))) AND d.concept_id <> t.concept_id "
+    "SELECT t.concept_id AS code, count(DISTINCT d.concept_id)::BIGINT AS n FROM tm t JOIN (SELECT DISTINCT sct FROM rec) u ON u.sct = t.concept_id JOIN des d ON ends_with(d.norm, lower(split_part(t.preferred, ' ', -1))) AND d.concept_id <> t.concept_id "
     "JOIN con ON con.id = d.concept_id AND con.is_now AND con.active WHERE length(split_part(t.preferred, ' ', -1)) >= 4 GROUP BY 1"
 )
 def sibling_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = B.vocab(spark, sf_dir)
-    codes = B.records(spark, sf_dir).filter("k >= 7").select(F.col("sct").alias("concept_id")).distinct().join(v.terms, "concept_id").select(F.col("concept_id").alias("code"), "preferred")
+    codes = B.records(spark, sf_dir).select(F.col("sct").alias("concept_id")).distinct().join(v.terms, "concept_id").select(F.col("concept_id").alias("code"), "preferred")
     return diagnosis.siblings(B.descriptions(spark, sf_dir), v.concept, codes, k=1 << 30).groupBy("code").agg(F.count("*").alias("n"))
 
 
@@ -676,34 +758,29 @@ def json_parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id || '#p0' AS record_id, s0::INT AS s, (s0 + n)::INT AS e, CASE WHEN doc_id % 2 = 0 AND upper(term) <> term THEN 'search_case_insensitive' ELSE 'search_unique' END AS how
-    FROM r WHERE strpos(lower(pre || cue), lower(term)) = 0 AND length(lower(pre)) = length(pre)"""
+    """SELECT record_id, s::INT AS s, (s + n)::INT AS e, how FROM (
+      SELECT record_id, n, CASE WHEN len(hits) > 0 THEN list_sort(list_transform(hits, lambda h: {'d': abs(h - claimed), 'h': h}))[1].h ELSE strpos(lower(src), lower(said)) - 1 END AS s,
+        CASE len(hits) WHEN 0 THEN 'search_case_insensitive' WHEN 1 THEN 'search_unique' ELSE 'search_nearest_of_' || len(hits) END AS how
+      FROM (SELECT *, list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[1:k], lambda x: length(x)))::BIGINT + (k - 1) * n) AS hits FROM (
+        SELECT doc_id || '#p0' AS record_id, src, n, s0 - 3 AS claimed, said, string_split(src, said) AS parts FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN upper(term) ELSE term END AS said FROM r))))"""
 )
 def rung0_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model output that quotes the planted mention, in capitals on even documents, with offsets that are wrong."""
-    m = B.raw_mentions(spark, sf_dir).withColumn("head", F.expr("left(source, length(source) - length(term) - 7)"))
-    m = m.filter((F.instr(F.lower("head"), F.lower("term")) == 0) & (F.length(F.lower("head")) == F.length("head")))
+    """Model output that quotes the planted mention, in capitals on even documents, with a start that is wrong by three."""
+    m = B.raw_mentions(spark, sf_dir)
     said = F.when(F.col("n_doc") % 2 == 0, F.upper("term")).otherwise(F.col("term"))
-    raw = m.select("doc_id", F.to_json(F.struct(F.array(F.struct(said.alias("span_text"), F.lit(0).alias("start"), F.lit(3).alias("end"), F.col("sct").alias("code"), F.lit(0.5).alias("confidence"))).alias("mentions"))).alias("raw"))
+    claim = (F.length("source") - F.length("term") - 10).alias("start")
+    raw = m.select("doc_id", F.to_json(F.struct(F.array(F.struct(said.alias("span_text"), claim, F.lit(3).alias("end"), F.col("sct").alias("code"), F.lit(0.5).alias("confidence"))).alias("mentions"))).alias("raw"))
     out = extraction.records(raw, m.select("doc_id", F.col("source").alias("text")))
     first = F.get("spans", F.lit(0))
     return out.select("record_id", first["s"].alias("s"), first["e"].alias("e"), F.col("offsets").alias("how"))
 
 
-@query("SELECT doc_id, item_id, (strpos(d.text, substring(b.text, 1, 60)) - 1)::INT AS s FROM documents d JOIN benchmark b ON strpos(d.text, substring(b.text, 1, 60)) > 0")
+@query(
+    """SELECT doc_id, item_id, s::INT AS s, (s + n)::INT AS e, how FROM (
+      SELECT doc_id, item_id, n, CASE WHEN x > 0 THEN x - 1 ELSE y - 1 END AS s, CASE WHEN x = 0 THEN 'search_case_insensitive' WHEN times = 1 THEN 'search_unique' ELSE 'search_nearest_of_' || times END AS how
+      FROM (SELECT doc_id, item_id, length(b.text) AS n, strpos(d.text, b.text) AS x, strpos(lower(d.text), lower(b.text)) AS y, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS times FROM documents d JOIN benchmark b ON strpos(lower(d.text), lower(b.text)) > 0))"""
+)
 def offset_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where documents quote the first 60 characters of a benchmark item. A document meets an item only if it holds the item's second to fourth word in a row."""
-    b = B.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle"))
-    b = b.withColumn("gram", F.xxhash64(F.array_join(F.slice(F.split("needle", r"\s+"), 2, 3), " ")))
-    d = B.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("w", F.split("text", r"\s+"))
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 3), " ")))
-    met = d.select("doc_id", F.explode(F.array_distinct(hashes)).alias("gram")).join(b.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
-    found = met.join(b.drop("gram"), "item_id").join(d.drop("w"), "doc_id").select("doc_id", "item_id", (F.instr("text", F.col("needle")) - 1).alias("s"))
-    return found.filter("s >= 0")
-
-
-@query()
-def offset_recovery_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where documents quote whole benchmark items, in any case; of several places the first. No word but an item's first and last can be part of a longer one, so a document meets an item by the item's second to fourth word in a row; items of fewer than five words meet all."""
     words = lambda c: F.split(F.lower(c), r"\s+")
     b = B.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).withColumn("n", F.size(words("needle")))
@@ -712,8 +789,8 @@ def offset_recovery_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = b.filter("n >= 5").withColumn("gram", F.xxhash64(F.array_join(F.slice(words("needle"), 2, 3), " ")))
     met = d.withColumn("w", words("text")).select("doc_id", F.explode(F.array_distinct(hashes)).alias("gram")).join(keyed.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
     pairs = met.join(keyed.select("item_id", "needle"), "item_id").join(d, "doc_id").select("doc_id", "item_id", "needle", "text")
-    pairs = pairs.unionByName(d.crossJoin(b.filter("n < 5").select("item_id", "needle")).select(*pairs.columns))
-    rows = pairs.filter((F.instr("text", F.col("needle")) > 0) | (F.instr(F.lower("text"), F.lower("needle")) > 0))
+    short = d.join(b.filter("n < 5").select("item_id", "needle"), F.instr(F.lower("text"), F.lower("needle")) > 0).select(*pairs.columns)
+    rows = pairs.unionByName(short).filter((F.instr("text", F.col("needle")) > 0) | (F.instr(F.lower("text"), F.lower("needle")) > 0))
     at = rows.withColumn("at", X.recover_offsets(F.col("needle"), F.col("text"), F.lit(0)))
     return at.select("doc_id", "item_id", "at.s", "at.e", "at.how").filter("s >= 0")
 
@@ -734,12 +811,6 @@ def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scans
 
 
-@query(r"""SELECT doc_id, 'BLOCK' AS level, 'possible hardcoded credential' AS what FROM documents WHERE regexp_matches(text, '(?i)(api[_-]?key|secret|password|token)\s*[=:]\s*[''"][^''"]{12,}[''"]')""")
-def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.table(spark, sf_dir, "documents").select("doc_id", F.explode(scan.issues(F.col("text"))).alias("x"))
-    return rows.select("doc_id", "x.level", "x.what").filter("what = 'possible hardcoded credential'")
-
-
 _KEYS = [("service key", "sk-[A-Za-z0-9_-]{20,}"), ("cloud key", "AIza[0-9A-Za-z_-]{30,}"), ("model key", "sk-ant-[A-Za-z0-9_-]{20,}"), ("repository token", "ghp_[A-Za-z0-9]{30,}"), ("hardcoded credential", r"(?i)(api[_-]?key|secret|password|token)\s*[=:]\s*[''\"][^''\"]{12,}[''\"]")]
 _TOLD = [r"(?i)askapatient", r"(?i)\bI''ve been on \w+ \d+ for (over |about )?\d+ (years|months)", r"(?i)\b(gp|doctor) (started|put) me on\b", r"(?i)\bstopped taking (it|them) after \d+ days\b"]
 
@@ -748,7 +819,7 @@ _TOLD = [r"(?i)askapatient", r"(?i)\bI''ve been on \w+ \d+ for (over |about )?\d
     " UNION ALL ".join(f"SELECT doc_id, 'BLOCK' AS level, 'possible {what}' AS what FROM documents WHERE regexp_matches(text, '{p}')" for what, p in _KEYS)
     + " UNION ALL SELECT doc_id, CASE WHEN n > 1 THEN 'BLOCK' ELSE 'WARN' END, CASE WHEN n > 1 THEN 'reads like licensed text' ELSE 'one phrase of licensed text' END FROM (SELECT doc_id, " + " + ".join(f"regexp_matches(text, '{p}')::INT" for p in _TOLD) + " AS n FROM documents) WHERE n > 0"
 )
-def secret_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All issues of whole texts: every kind of credential, and the tells of licensed texts."""
     rows = B.table(spark, sf_dir, "documents").select("doc_id", F.explode(scan.issues(F.col("text"))).alias("x"))
     return rows.select("doc_id", "x.level", "x.what")
@@ -760,3 +831,27 @@ def forbidden_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("L", "licence line first"), ("A ", "short word first")]
     found = scan.forbidden(d.select(F.concat_ws("\x00", "text", F.col("doc_id").cast("string")).alias("path")), rules)
     return found.select(F.element_at(F.split("path", "\x00"), -1).cast("long").alias("doc_id"), "why")
+
+
+@query("SELECT trim(split_part(line, '#', 1)) AS line FROM (SELECT p_name || CASE p_partkey % 3 WHEN 0 THEN '==1.0' WHEN 1 THEN '>=2 # later' ELSE '' END AS line FROM part) WHERE NOT contains(split_part(line, '#', 1), '==') AND trim(split_part(line, '#', 1)) <> ''")
+def unpinned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    lines = B.table(spark, sf_dir, "part").select(F.concat("p_name", F.when(k == 0, "==1.0").when(k == 1, ">=2 # later").otherwise("")).alias("line"))
+    return scan.unpinned(lines)
+
+
+@query("SELECT n_name AS path FROM nation WHERE n_name NOT IN (SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey <= 5)")
+def absent_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = B.table(spark, sf_dir, "nation")
+    some = B.table(spark, sf_dir, "supplier").filter("s_suppkey <= 5").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("path"))
+    return scan.absent(some, n.select(F.col("n_name").alias("path")))
+
+
+# Keys
+
+
+@query("""SELECT p_partkey AS pk, url_encode(url_encode('http://snomed.info/id/' || (1000000 + p_partkey))) AS iri, sha256('{"code":"' || (1000000 + p_partkey) || '","name":"' || p_name || '"}') AS key, substring(regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9_.-]', '_', 'g'), 1, 180) AS file FROM part""")
+def request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.table(spark, sf_dir, "part")
+    code = (F.col("p_partkey") + 1000000).cast("string")
+    return p.select(F.col("p_partkey").alias("pk"), X.iri_key(code).alias("iri"), X.cache_key(code.alias("code"), F.col("p_name").alias("name")).alias("key"), X.response_key(F.concat_ws("/", "p_name", "p_brand")).alias("file"))

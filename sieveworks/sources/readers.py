@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from pathlib import Path
 from typing import Any
 
@@ -16,14 +17,26 @@ from ..functions import text as X
 IS_A, FSN_TYPE = "116680003", "900000000000003001"
 
 
+def there(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file or folder meets the pattern, in whatever store it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return len(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or ()) > 0
+
+
 def documents(spark: SparkSession, root: str) -> DataFrame:
-    """doc_id, grp and text of every text/*.txt under the root; a missing folder fails when the plan is made."""
+    """doc_id, grp and text of every text/*.txt under the root; a missing folder is an error, one without files gives no rows."""
+    if not there(spark, f"{root}/text"):
+        raise FileNotFoundError(f"{root}/text")
+    if not there(spark, f"{root}/text/*.txt"):
+        return spark.createDataFrame([], schema.DOC)
     raw = spark.read.text(f"{root}/text/*.txt", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("doc_id"), F.col("value").alias("text"))
     return raw.select("doc_id", F.split_part("doc_id", F.lit("."), F.lit(1)).alias("grp"), "text")
 
 
 def annotation_lines(spark: SparkSession, root: str, layer: str) -> DataFrame:
-    """doc_id and line of a layer's *.ann files."""
+    """doc_id and line of a layer's *.ann files; a layer that is missing, or has none, is empty."""
+    if not there(spark, f"{root}/{layer}/*.ann"):
+        return spark.createDataFrame([], "doc_id string, line string")
     return spark.read.text(f"{root}/{layer}/*.ann").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.ann$", 1).alias("doc_id"), F.col("value").alias("line"))
 
 
@@ -77,9 +90,17 @@ def gold_as_records(mentions: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_file(release: str, prefix: str) -> str:
-    """The first file, by name, with the prefix anywhere under the release."""
-    found = sorted(str(p) for p in Path(release).rglob(f"{prefix}*.txt"))
+def snapshot_file(release: str, prefix: str, spark: SparkSession | None = None) -> str:
+    """The first file, by path, with the prefix anywhere under the release; given a session, in any store that Spark reads."""
+    found = sorted(str(p) for p in Path(release).rglob(f"{prefix}*.txt")) if spark is None else []
+    if spark is not None and there(spark, release):
+        where = spark._jvm.org.apache.hadoop.fs.Path(release)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+        while files.hasNext():
+            path = files.next().getPath()
+            if path.getName().startswith(prefix) and path.getName().endswith(".txt"):
+                found.append(path.toString())
+        found.sort()
     if not found:
         raise FileNotFoundError(f"{prefix}*.txt is nowhere under {release}")
     return found[0]
@@ -110,9 +131,15 @@ def code_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.filter("code <> ''").groupBy("code").agg(F.max_by("term", "row").alias("term"))
 
 
-def optional_code_list(spark: SparkSession, path: str | None) -> DataFrame | None:
-    """None where no path is given or nothing is there: the checks that need it are then off."""
-    return code_list(spark, path) if path and Path(path).exists() else None
+def optional_code_list(spark: SparkSession, path: str | None, quiet: bool = False) -> DataFrame | None:
+    """None where no path is given, or (with a warning) where nothing is there: the checks that need it are then off."""
+    if not path:
+        return None
+    if there(spark, path):
+        return code_list(spark, path)
+    if not quiet:
+        warnings.warn(f"no code list at {path}: its checks are off", stacklevel=2)
+    return None
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from sieveworks import schema
 from sieveworks.functions import text as X
 from sieveworks.operators import alignment, curves, diagnosis, extraction, ledger, scan, splits, stages, vocabulary
 from sieveworks.plans import bindings, catalog
+from sieveworks.session import shared_folder
 from sieveworks.sources import readers, writers
 from sieveworks.streaming import ledger_stream
 
@@ -312,7 +314,7 @@ def test_whole_items_are_found_in_any_case(spark, tmp_path):
     docs = [(1, f"so {item} and {item}"), (2, f"x {item.upper()}"), (3, item[:70] + " other words"), (4, "none"), (5, f"pre{item}post"), (6, "a SHORT Item here"), (7, None)]
     put(spark, tmp_path, "documents", docs, "doc_id long, text string")
     put(spark, tmp_path, "benchmark", [(1, item), (2, "short item")], "item_id long, text string")
-    got = sorted(tuple(r) for r in catalog.offset_recovery_whole(spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in catalog.offset_recovery(spark, str(tmp_path)).collect())
     n = len(item)
     assert got == [(1, 1, 3, 3 + n, "search_nearest_of_2"), (2, 1, 2, 2 + n, "search_case_insensitive"), (5, 1, 3, 3 + n, "search_unique"), (6, 2, 2, 12, "search_case_insensitive")]
 
@@ -321,7 +323,7 @@ def test_sweep_scores_all_documents(spark):
     folder = "/root/testdata/sf0.001"
     pred, gold = ([r.asDict() for r in f(spark, folder).collect()] for f in (bindings.predicted_mentions, bindings.gold_mentions))
     spots = lambda r: {x for f in r["fragments"] for x in range(f["s"], f["e"])}
-    got = {r["threshold"]: r for r in catalog.theta_sweep_whole(spark, folder).collect()}
+    got = {r["threshold"]: r for r in catalog.theta_sweep(spark, folder).collect()}
     assert sorted(got) == [t / 10 for t in range(1, 10)]
     for threshold, row in got.items():
         matched = right = 0
@@ -352,9 +354,76 @@ def test_all_issues_of_whole_texts(spark, tmp_path):
     far = "x" * 400_001
     docs = [(1, "sk-" + "a" * 24), (2, "AIza" + "b" * 32), (3, far + " ghp_" + "c" * 32), (4, far + " password = 'abcdefghijklm'"), (5, "seen on askapatient"), (6, "The doctor put me on it, I stopped taking it after 3 days"), (7, "clean"), (8, None)]
     put(spark, tmp_path, "documents", docs, "doc_id long, text string")
-    got = sorted(tuple(r) for r in catalog.secret_scan_whole(spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in catalog.secret_scan(spark, str(tmp_path)).collect())
     assert got == [
         (1, "BLOCK", "possible service key"), (2, "BLOCK", "possible cloud key"), (3, "BLOCK", "possible repository token"), (4, "BLOCK", "possible hardcoded credential"),
         (5, "WARN", "one phrase of licensed text"), (6, "BLOCK", "reads like licensed text"),
     ]
-    assert [r["doc_id"] for r in catalog.secret_scan(spark, str(tmp_path)).collect()] == [4]
+
+
+def test_p95_of_many_different_values(spark):
+    rng = random.Random(3)
+    draws = {"a": lambda: rng.expovariate(1), "b": lambda: 10 ** rng.uniform(-9, 9), "c": lambda: rng.choice([1.0, 2.0, 1e9]), "d": lambda: -rng.random(), "e": lambda: 5.0, "f": lambda: 0.0}
+    rows = [(k, float(f())) for k, f in draws.items() for _ in range(2000)] + [("g", 3.0), ("h", None)]
+    want = {}
+    for k in {k for k, v in rows if v}:
+        values = sorted(v for x, v in rows if x == k and v)
+        want[k] = values[min(len(values) - 1, round(0.95 * (len(values) - 1)))]
+    got = {r["k"]: r["p95"] for r in ledger.p95(spark.createDataFrame(rows, "k string, latency_ms double"), ["k"]).collect()}
+    assert got == want
+
+
+def test_parts_of_a_document_are_matched_apart(spark):
+    rng = random.Random(4)
+    span = "doc_id string, {} int, fragments array<struct<s:int,e:int>>"
+    made = lambda n: [("D", k, [(s, s + rng.randint(2, 9))]) for k in range(n) for s in [rng.randint(0, 120)]]
+    pred, gold = spark.createDataFrame(made(40), span.format("i")), spark.createDataFrame(made(40), span.format("j"))
+    whole = alignment.candidates(pred, gold, 0.2)
+    parts = alignment.parted(alignment.candidates(pred, gold, 0.2, True))
+    assert parts.select("part").distinct().count() > 3
+    for f in (alignment.greedy, alignment.optimal):
+        a, b = (f(x).toPandas() for x in (whole, parts))
+        assert a["iou"].sum() == pytest.approx(b["iou"].sum()) and len(a) == len(b)
+        if f is alignment.greedy:
+            assert set(map(tuple, a[["i", "j"]].values)) == set(map(tuple, b[["i", "j"]].values))
+
+
+def test_runs_keep_their_history_and_load_other_stages(spark, vocab, tmp_path, monkeypatch):
+    df = enriched(spark, vocab, rec("271782001"), rec("999", n=1))
+    done = stages.run(df, [1, 2], [1, 2], {1: {"mode": "gate"}})
+    history = {r["record_id"]: [(p["rung"], p["from"], p["to"], p["reason"]) for p in r["provenance"] or []] for r in done.snapshots[2].collect()}
+    assert sorted(history.values()) == sorted([[(1, "NEW", "ACCEPT", None), (2, "ACCEPT", "VERIFIED", None)], [(1, "NEW", "REJECT", "code_unknown"), (2, "REJECT", "ABSTAIN", "code_unknown")]])
+    (tmp_path / "own_stages").mkdir()
+    (tmp_path / "own_stages" / "__init__.py").write_text("")
+    (tmp_path / "own_stages" / "r5.py").write_text("apply = lambda df, settings: df")
+    (tmp_path / "own_stages" / "r6.py").write_text("import not_there_at_all")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert stages.load(5, "own_stages")("x", {}) == "x" and stages.load(4, "own_stages") is None and stages.load(4, "no_such_package") is None
+    with pytest.raises(ModuleNotFoundError):
+        stages.load(6, "own_stages")
+
+
+def test_the_fallback_warns_and_is_remembered(spark, vocab):
+    calls = []
+    remote = lambda: calls.append(1) or vocabulary.Vocabulary(vocab.concept, vocab.terms, "remote", lossy=True)
+    none = lambda: None
+    with pytest.warns(UserWarning, match="international"):
+        first = vocabulary.select(none, remote)
+    assert vocabulary.select(none, remote) is first and len(calls) == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
