@@ -7,8 +7,8 @@ document that is good, and a logistic curve turns that share into the probabilit
 Labels are of documents, lines have none: training is by expectation-maximisation. Lines of documents labelled 1 are
 good; those of documents labelled 0 start as bad and then get the marginals of the model, but for the least good line,
 which stays bad. The sample is bounded:
-`SAMPLE` labelled documents of each label, none longer than `SAMPLE_CHARS`, chosen by a hash of doc_id; documents whose
-crc32(doc_id as text) mod 4 is 2 are never among them. Ids, languages and sources are no features.
+`SAMPLE` labelled documents of each label, chosen by a hash of doc_id, whatever their length, and of each its first
+`SAMPLE_LINES` lines; documents whose crc32(doc_id as text) mod 4 is 2 are never among them. Scores are of all lines. Ids, languages and sources are no features.
 
 Defined results: a null or empty text, or one of white space only, has no lines that count and gets the share of label 1
 in all training labels. Rows that repeat get equal scores, a null doc_id is not held out, lines of any length count whole.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, SAMPLE_CHARS = 1500, 100_000
+SAMPLE, SAMPLE_LINES = 1500, 2000
 THRESHOLD = 0.7
 ROUNDS, STEPS, RATE, RIDGE = 3, 60, 0.15, 1e-3
 FEATURES = ("length", "words", "mean_word", "upper", "digits", "exclaimed", "symbols", "bars", "same_as_last", "line_again", "ends_sentence", "begins_upper")
@@ -220,10 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch, data, at in common.blocks(batches):
             rows, sizes, features = line_features(data, at)
             edges = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            pack = [np.column_stack([sizes[a:b], features[a:b]]).astype("<f4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            pack = [np.column_stack([sizes[a:b], features[a:b]]).astype("<f4").tobytes() for a, b in zip(edges[:-1], np.minimum(edges[1:], edges[:-1] + SAMPLE_LINES), strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lines": pa.array(pack, pa.binary())})
 
-    texts = common.documents(docs).filter(F.col("doc_id").isin(list(chosen)) & (F.length("text") <= SAMPLE_CHARS))
+    texts = common.documents(docs).filter(F.col("doc_id").isin(list(chosen)))
     found = texts.mapInArrow(run, "doc_id long, lines binary").dropDuplicates(["doc_id"]).collect()
     found = sorted((r["doc_id"], bytes(r["lines"])) for r in found if len(r["lines"]))
     parts = [np.frombuffer(x, "<f4").reshape(-1, 1 + len(FEATURES)) for _, x in found]
