@@ -42,9 +42,9 @@ BLOCK_BYTES = 2 << 20
 #: Parts of a bucket, and of a part that is still too large; the latter LEVELS times.
 PARTS, LEVELS = 64, 4
 #: Bytes of strings that a task holds before they go to its scratch file, and that it sorts at once.
-HELD, SORTED = 8 << 20, 4 << 20
-#: Of zstd, for what is shuffled.
-LEVEL = 3
+HELD, SORTED = 32 << 20, 4 << 20
+#: Of zstd, for what is shuffled, and for scratch files.
+LEVEL, SCRATCH_LEVEL = 6, 3
 #: Bytes of two windows compared at a time.
 _COMPARED = 4 << 20
 _FACTOR = 0x9E3779B97F4A7C15
@@ -241,7 +241,7 @@ class _Parts:
 
     def _flush(self) -> None:
         self._file = self._file or tempfile.TemporaryFile()
-        engine, at = zstandard.ZstdCompressor(level=1), self._file.seek(0, 2)
+        engine, at = zstandard.ZstdCompressor(level=SCRATCH_LEVEL), self._file.seek(0, 2)
         for held, filed in zip(self._held, self._filed, strict=True):
             if held:
                 keys, strings = (np.concatenate(x) for x in zip(*held, strict=True))
