@@ -96,7 +96,8 @@ def _input(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataF
         records = readers.backfilled(readers.guarded(given, docs.select("doc_id")))
     else:
         records = readers.gold_as_records(gold)
-    return stages.enrich(records, docs, load(spark, a.vocabulary), readers.optional_code_list(spark, a.codes)), gold
+    rows = stages.enrich(records, docs, load(spark, a.vocabulary), readers.optional_code_list(spark, a.codes))
+    return rows.drop("source"), gold  # grounding and denial are told; the texts need not travel on with every mention
 
 
 def _write(done: stages.Run, out: str, right: Column | None = None, run_id: str = "run") -> None:
