@@ -36,8 +36,8 @@ from . import common
 from .superkmer_dedup import _hashed, _joined, _pack
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Two documents at similarity 0.8 share a band with probability 0.998, at 0.85 with 0.99994, at 0.3 with 0.015.
-BANDS, ROWS = 20, 6
+#: Two documents at similarity 0.8 share a band with probability 0.99993, at 0.85 with 0.999998, at 0.3 with 0.06.
+BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Registers are all filled by the first horizon but in e**-PATIENCE of documents.
 PATIENCE = 6.0
