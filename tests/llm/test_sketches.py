@@ -305,3 +305,24 @@ def test_components(spark):
     df = spark.createDataFrame([(str(1000 + a).encode(), str(1000 + b).encode()) for a, b in edges], "a binary, b binary")
     got = {r["node"].decode(): r["label"].decode() for r in bagminhash.components(df).collect()}
     assert got == {str(1000 + i): "1000" for i in range(1, 31)} | {"1101": "1100", "1102": "1100"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    """Against union-find: chains, stars, cycles and repeated edges, in any order and direction."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(80)] + [(200, 200 + i) for i in range(1, 30)] + [(300 + i, 300 + (i + 1) % 7) for i in range(7)]
+    edges += rng.sample(edges, 10)
+    parent = list(range(400))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    df = spark.createDataFrame([(f"{a:03}".encode(), f"{b:03}".encode()) for a, b in edges], "a binary, b binary")
+    got = [(r["node"].decode(), r["label"].decode()) for r in bagminhash.components(df).collect()]
+    assert sorted(got) == [(f"{x:03}", f"{find(x):03}") for x in range(400) if find(x) != x]
