@@ -25,7 +25,8 @@ def closures(edges: DataFrame, root: str) -> DataFrame:
 
     A frontier of children not seen before, of all kinds at once, until it is empty. Every round is materialised with
     checkpoint(), so a round never recomputes the ones before it and a lost executor costs no more than its own tasks.
-    Cycles and diamonds end, since nothing is visited twice.
+    Cycles and diamonds end, since nothing is visited twice. No round is broadcast: its size is only guessed, from
+    compressed files, and the driver would have to hold it.
     """
     edges = edges.select("kind", F.col("parent").alias("id"), "child").distinct().checkpoint()
     rounds = [edges.select("kind").distinct().withColumn("id", F.lit(root)).checkpoint()]
@@ -33,8 +34,8 @@ def closures(edges: DataFrame, root: str) -> DataFrame:
         seen = rounds[0]
         for r in rounds[1:]:
             seen = seen.union(r)
-        step = rounds[-1].join(edges, ["kind", "id"]).select("kind", F.col("child").alias("id")).distinct()
-        rounds.append(step.join(seen, ["kind", "id"], "left_anti").checkpoint())
+        step = rounds[-1].join(edges.hint("merge"), ["kind", "id"]).select("kind", F.col("child").alias("id")).distinct()
+        rounds.append(step.join(seen.hint("merge"), ["kind", "id"], "left_anti").checkpoint())
     return seen.union(rounds[-1]) if len(rounds) > 1 else rounds[0]
 
 
@@ -50,7 +51,7 @@ def with_findings(concepts: DataFrame, edges: DataFrame, root: str = FINDING_ROO
     found = closures(edges.select(F.explode(kinds).alias("kind"), "parent", "child"), root)
     flags = found.groupBy("id").agg(F.max(F.col("kind") == "now").alias("now"), F.max(F.col("kind") == "ever").alias("ever"))
     mine = lambda c: F.coalesce(c, F.lit(False)) | (F.col("id") == root)
-    return concepts.join(flags, "id", "left").withColumns({"is_finding": mine("now"), "is_finding_hist": mine("ever")}).drop("now", "ever")
+    return concepts.join(flags.hint("merge"), "id", "left").withColumns({"is_finding": mine("now"), "is_finding_hist": mine("ever")}).drop("now", "ever")
 
 
 def finding_status(present: Column, active: Column, now: Column, ever: Column) -> Column:
@@ -91,7 +92,7 @@ def conforms(v: object) -> list[str]:
 
 def restricted(v: Vocabulary, concepts_with_module: DataFrame, international: str = INTERNATIONAL) -> Vocabulary:
     """The view that a remote service has: active international concepts only."""
-    seen = concepts_with_module.filter(F.col("active") & (F.col("module_id") == international)).select("id")
+    seen = concepts_with_module.filter(F.col("active") & (F.col("module_id") == international)).select("id").hint("merge")
     return Vocabulary(v.concept.join(seen, "id", "left_semi"), v.terms.join(seen, v.terms["concept_id"] == seen["id"], "left_semi"), "remote", v.release, True)
 
 
