@@ -23,8 +23,9 @@ from .vocabulary import Vocabulary, finding_status, lexical_match
 def enrich(records: DataFrame, sources: DataFrame, vocabulary: Vocabulary | None, meddra: DataFrame | None = None, window: int = 6) -> DataFrame:
     """Records with source, grounding, negation cue, concept flags, both lexical matches, and the other code's term.
 
-    All joins are left and on equality. Spark broadcasts a lookup side only if its size is below the session's
-    threshold, and shuffles beyond it.
+    All joins are left and on equality. The vocabulary is shuffled, never broadcast: its size is only guessed, from
+    compressed files, and the driver would have to hold it. Spark broadcasts the other code list if its size is below
+    the session's threshold.
     """
     texts = sources.select("doc_id", F.col("text").alias("source"))
     rows = records.join(texts, "doc_id", "left").withColumn("source", F.coalesce("source", F.lit("")))
@@ -38,7 +39,7 @@ def enrich(records: DataFrame, sources: DataFrame, vocabulary: Vocabulary | None
         # Records without a code meet nothing; each gets a key of its own, or one task would get them all.
         coded = (F.coalesce("sct", F.lit("")) != "") & (F.col("sct") != schema.CONCEPT_LESS)
         rows = rows.withColumn("code_key", F.when(coded, F.col("sct")).otherwise(F.concat(F.lit("#"), F.xxhash64("doc_id", "text").cast("string"))))
-        both = c.withColumnRenamed("sct", "code_key"), t.withColumnRenamed("sct", "code_key")
+        both = c.withColumnRenamed("sct", "code_key").hint("merge"), t.withColumnRenamed("sct", "code_key").hint("merge")
         rows = rows.join(both[0], "code_key", "left").join(both[1], "code_key", "left").drop("code_key")
         rows = rows.withColumns({
             "present": F.coalesce("found", F.lit(False)), "status": finding_status(F.col("found"), F.col("active"), F.col("is_finding"), F.col("is_finding_hist")),

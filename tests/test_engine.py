@@ -427,3 +427,34 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all frames that are materialised meanwhile."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, own = [], DataFrame.checkpoint
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **b: (seen.append(plan(self)), own(self, *a, **b))[1])
+    return seen, plan
+
+
+def test_no_round_of_the_closure_goes_to_the_driver(spark, plans):
+    edges = spark.createDataFrame([("r", "a", True), ("a", "b", False), ("b", "a", True), ("b", "c", True)], "parent string, child string, active boolean")
+    concepts = spark.createDataFrame([(c, True) for c in "rabcx"], "id string, active boolean")
+    found = vocabulary.with_findings(concepts, edges, "r")
+    assert {r["id"]: (r["is_finding"], r["is_finding_hist"]) for r in found.collect()} == {"r": (True, True), "a": (True, True), "b": (False, True), "c": (False, True), "x": (False, False)}
+    seen, plan = plans
+    assert len(seen) > 4 and not [p for p in [*seen, plan(found)] if "Broadcast" in p]
+
+
+@pytest.mark.parametrize("name", ["r1_records", "tau_sweep", "lossy_backend", "probe_c4"])
+def test_no_table_that_grows_goes_to_the_driver(spark, plans, name):
+    """Only the code list of 25 nations and pools may be broadcast by their sizes, and counts of one row."""
+    from sieveworks.plans import bindings, catalog
+
+    text = plans[1](catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    built = {"r1_records": 1, "tau_sweep": 1, "lossy_backend": 0, "probe_c4": 1}[name]
+    assert text.count("BroadcastHashJoin") == built
+    assert "BroadcastHashJoin" not in plans[1](bindings.raw_mentions(spark, "/root/testdata/sf0.001"))
