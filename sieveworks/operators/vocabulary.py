@@ -153,7 +153,7 @@ def code_shape(code: Column) -> Column:
 def codes_for_terms(descriptions: DataFrame, queries: DataFrame) -> DataFrame:
     """query and code: concepts that have the query's normalised term."""
     wanted = queries.select("query", X.normalise_term(F.col("query")).alias("norm")).filter("norm <> ''")
-    return wanted.join(descriptions, "norm").select("query", F.col("concept_id").alias("code")).distinct()
+    return wanted.join(descriptions.hint("merge"), "norm").select("query", F.col("concept_id").alias("code")).distinct()
 
 
 def exact_search(descriptions: DataFrame, queries: DataFrame, rows: int = 5) -> DataFrame:
