@@ -46,14 +46,20 @@ def pool(concepts: DataFrame, name: str, limit: int = 4000) -> DataFrame:
 def siblings(descriptions: DataFrame, concepts: DataFrame, gold: DataFrame, k: int = 8) -> DataFrame:
     """code and up to k findings whose normalised term ends with the last word (of four letters or more) of the code's preferred term.
 
-    Terms that end alike share their last four characters, which is what the join is keyed on. gold: code, preferred.
+    Such a word is a suffix of the term's own last word, so terms meet the different words by equality on all of these
+    suffixes. The first k + 1 findings of each word are kept, as no code loses more than itself, and only they meet the
+    codes of that word. gold: code, preferred.
     """
     head = gold.select("code", F.lower(F.regexp_extract("preferred", r"(\S+)\s*$", 1)).alias("head")).filter(F.length("head") >= 4).distinct()
     finding = concepts.filter("is_finding and active").select(F.col("id").alias("concept_id"))
-    own = descriptions.join(finding, "concept_id", "left_semi").select("concept_id", "norm", F.substring("norm", -4, 4).alias("tail"))
-    pairs = head.withColumn("tail", F.substring("head", -4, 4)).join(own, "tail").filter(F.col("norm").endswith(F.col("head")) & (F.col("concept_id") != F.col("code")))
-    found = pairs.select("code", "concept_id").distinct()
-    return found.withColumn("place", (F.row_number().over(Window.partitionBy("code").orderBy("concept_id")) - 1).cast("long")).filter(F.col("place") < k).select("code", "place", F.col("concept_id").alias("sibling"))
+    last = F.regexp_extract("norm", r"(\S+)$", 1)
+    own = descriptions.join(finding.hint("merge"), "concept_id", "left_semi").select("concept_id", last.alias("last")).filter(F.length("last") >= 4).distinct()
+    ends = own.select("concept_id", F.explode(F.transform(F.sequence(F.lit(4), F.length("last")), lambda n: F.right("last", n))).alias("head"))
+    first = ends.join(head.select("head").distinct().hint("merge"), "head", "left_semi").distinct()
+    first = first.withColumn("at", F.row_number().over(Window.partitionBy("head").orderBy("concept_id"))).filter(F.col("at") <= k + 1).drop("at")
+    pairs = head.join(first.hint("merge"), "head").filter(F.col("concept_id") != F.col("code"))
+    place = F.dense_rank().over(Window.partitionBy("code").orderBy("concept_id")) - 1
+    return pairs.select("code", place.cast("long").alias("place"), F.col("concept_id").alias("sibling")).filter(F.col("place") < k).distinct()
 
 
 def plant(records: DataFrame, kind: str, non_findings: DataFrame, findings: DataFrame, near: DataFrame, seed: int = 42) -> DataFrame:

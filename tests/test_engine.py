@@ -458,3 +458,41 @@ def test_no_table_that_grows_goes_to_the_driver(spark, plans, name):
     built = {"r1_records": 1, "tau_sweep": 1, "lossy_backend": 0, "probe_c4": 1}[name]
     assert text.count("BroadcastHashJoin") == built
     assert "BroadcastHashJoin" not in plans[1](bindings.raw_mentions(spark, "/root/testdata/sf0.001"))
+
+
+def joined(df):
+    """The most rows that a join of the frame made, after it ran."""
+
+    def most(p):
+        kind = p.getClass().getSimpleName()
+        inner = [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        own = p.metrics().apply("numOutputRows").value() if kind.endswith("JoinExec") else 0
+        return max([own, *map(most, inner)])
+
+    return most(df._jdf.queryExecution().executedPlan())
+
+
+def test_reverse_lookup_joins_no_document_with_every_code_of_its_term(spark, tmp_path):
+    """30 documents, one of them twice, over 40 parts of one name; the mentions of six are flawed."""
+    from sieveworks.plans import catalog
+
+    spark.createDataFrame([(i, "Red Box", "Brand#1", "TIN", 1) for i in range(40)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(i % 30, "text") for i in range(31)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.term_reverse_lookup(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted((str(i), 40, "1000000") for i in range(30) if i not in (3, 8, 9, 23, 28, 29))
+    assert 0 < joined(found) <= 120
+
+
+def test_siblings_meet_only_the_first_findings_of_their_word(spark):
+    """120 concepts with one last word, and a word that ends a longer one; against enumeration."""
+    preferred = {f"{i:03}": f"Kind{i} {'Toothache' if i % 10 == 7 else 'ache' if i % 10 == 8 else 'Headache'}" for i in range(120)}
+    concepts = spark.createDataFrame([(c, int(c) % 7 != 0, int(c) % 5 != 0) for c in preferred], "id string, is_finding boolean, active boolean")
+    terms = spark.createDataFrame([(c, n) for c, t in preferred.items() for n in (t.lower(), "other " + t.lower())], "concept_id string, norm string")
+    gold = spark.createDataFrame(list(preferred.items()), "code string, preferred string")
+    found = diagnosis.siblings(terms, concepts, gold)
+    want = []
+    for code, t in preferred.items():
+        same = sorted(c for c, n in preferred.items() if c != code and n.lower().endswith(t.split()[-1].lower()) and int(c) % 7 and int(c) % 5)
+        want += [(code, i, c) for i, c in enumerate(same[:8])]
+    assert sorted((r["code"], r["place"], r["sibling"]) for r in found.collect()) == sorted(want)
+    assert 0 < joined(found) <= 120 * 9
