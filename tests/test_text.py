@@ -148,3 +148,18 @@ def test_negation_against_plain_python(spark):
     df = spark.createDataFrame(rows, f"s string, p {SPANS}, want string")
     bad = df.withColumn("got", N.negation_cue(F.col("s"), F.col("p"))).filter("not (got <=> want)").collect()
     assert not bad, bad[:3]
+
+
+def test_cues_are_found_at_any_distance_in_characters_and_texts_split_few_times(spark):
+    """Gaps and words longer than what is split first; against the same texts with short ones."""
+    gap, word = " " * 5000, "w" * 5000
+    near = ["He denied any rash today.", "No www rash today.", "It was a rash www never.", "He denied. A rash www. None", "wrash no"]
+    rows = [(i, t, x) for i, t in enumerate(near) for x in (t, t.replace(" ", gap), t.replace("www", word), "No, but. " * 900 + t)]
+    at = F.instr("text", "rash") - 1
+    cue = N.negation_cue(F.col("text"), F.array(F.struct(at.alias("s"), (at + 4).alias("e"))))
+    found = {}
+    for i, c in spark.createDataFrame(rows, "i int, near string, text string").select("i", cue.alias("cue")).collect():
+        found.setdefault(i, set()).add(c)
+    assert found == {0: {"denied"}, 1: {"no"}, 2: {"never"}, 3: {None}, 4: {None}}
+    plan = spark.createDataFrame([("a", 0)], "text string, at int").select(N.negation_cue(F.col("text"), F.array(F.struct(F.col("at").alias("s"), F.col("at").alias("e")))).alias("cue"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") <= 4
