@@ -20,15 +20,16 @@ from ..functions import text as X
 from .vocabulary import Vocabulary, finding_status, lexical_match
 
 
-def enrich(records: DataFrame, sources: DataFrame, vocabulary: Vocabulary | None, meddra: DataFrame | None = None, window: int = 6) -> DataFrame:
+def enrich(records: DataFrame, sources: DataFrame | None, vocabulary: Vocabulary | None, meddra: DataFrame | None = None, window: int = 6) -> DataFrame:
     """Records with source, grounding, negation cue, concept flags, both lexical matches, and the other code's term.
 
-    All joins are left and on equality. The vocabulary is shuffled, never broadcast: its size is only guessed, from
+    Without sources the records carry theirs, as `source`, and no text is shuffled to meet them. All joins are left and on equality. The vocabulary is shuffled, never broadcast: its size is only guessed, from
     compressed files, and the driver would have to hold it. Spark broadcasts the other code list if its size is below
     the session's threshold.
     """
-    texts = sources.select("doc_id", F.col("text").alias("source"))
-    rows = records.join(texts, "doc_id", "left").withColumn("source", F.coalesce("source", F.lit("")))
+    if sources is not None:
+        records = records.join(sources.select("doc_id", F.col("text").alias("source")), "doc_id", "left")
+    rows = records.withColumn("source", F.coalesce("source", F.lit("")))
     rows = rows.withColumn("span_reason", X.span_reason(F.col("entity_type"), F.col("spans"), F.col("text"), F.col("source")))
     rows = rows.withColumn("cue", F.when(F.col("span_reason").isNull(), N.negation_cue(F.col("source"), F.col("spans"), window)))
     if vocabulary is None:

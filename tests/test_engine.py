@@ -496,3 +496,19 @@ def test_siblings_meet_only_the_first_findings_of_their_word(spark):
         want += [(code, i, c) for i, c in enumerate(same[:8])]
     assert sorted((r["code"], r["place"], r["sibling"]) for r in found.collect()) == sorted(want)
     assert 0 < joined(found) <= 120 * 9
+
+
+def test_closure_takes_few_jobs_on_deep_graphs(spark):
+    chain = [(k, str(i), str(i + 1)) for k in ("now", "ever") for i in range(13) if k == "ever" or i != 7] + [("ever", "5", "2"), ("ever", "13", "0"), ("ever", "1", "9")]
+    group = f"closure-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "closure")
+    rows = sorted(map(tuple, vocabulary.closures(spark.createDataFrame(chain, "kind string, parent string, child string"), "0").collect()))
+    spark.sparkContext.setJobGroup("", "")
+    assert rows == sorted([("ever", str(i)) for i in range(14)] + [("now", str(i)) for i in range(8)])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 40
+
+
+def test_enriched_records_shuffle_their_texts_once(spark, plans):
+    from sieveworks.plans import bindings
+
+    assert plans[1](bindings.enriched(spark, "/root/testdata/sf0.001").select("doc_id", "cue")).count("documents.parquet") == 1
