@@ -20,20 +20,22 @@ from ..functions import text as X
 from .vocabulary import Vocabulary, finding_status, lexical_match
 
 
-def enrich(records: DataFrame, sources: DataFrame | None, vocabulary: Vocabulary | None, meddra: DataFrame | None = None, window: int = 6) -> DataFrame:
+def enrich(records: DataFrame, sources: DataFrame | None, vocabulary: Vocabulary | None, meddra: DataFrame | None = None, window: int = 6, cue: bool = True, contained: bool = True) -> DataFrame:
     """Records with source, grounding, negation cue, concept flags, both lexical matches, and the other code's term.
 
     Without sources the records carry theirs, as `source`, and no text is shuffled to meet them. All joins are left and on equality. The vocabulary is shuffled, never broadcast: its size is only guessed, from
     compressed files, and the driver would have to hold it. Spark broadcasts the other code list if its size is below
-    the session's threshold.
+    the session's threshold. Whoever needs neither the cue nor the contained match leaves them out: Spark drops unused
+    columns only after the driver has analysed them, and these two take about a third of what building the plan allocates.
     """
     if sources is not None:
         records = records.join(sources.select("doc_id", F.col("text").alias("source")), "doc_id", "left")
     rows = records.withColumn("source", F.coalesce("source", F.lit("")))
     rows = rows.withColumn("span_reason", X.span_reason(F.col("entity_type"), F.col("spans"), F.col("text"), F.col("source")))
-    rows = rows.withColumn("cue", F.when(F.col("span_reason").isNull(), N.negation_cue(F.col("source"), F.col("spans"), window)))
+    if cue:
+        rows = rows.withColumn("cue", F.when(F.col("span_reason").isNull(), N.negation_cue(F.col("source"), F.col("spans"), window)))
     if vocabulary is None:
-        rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("present", "boolean"), ("active", "boolean"), ("status", "string"), ("exact", "boolean"), ("contained", "boolean"), ("preferred", "string"))})
+        rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("present", "boolean"), ("active", "boolean"), ("status", "string"), ("exact", "boolean"), ("contained", "boolean"), ("preferred", "string")) if contained or c != "contained"})
     else:
         c = vocabulary.concept.select(F.col("id").alias("sct"), "active", "is_finding", "is_finding_hist", F.lit(True).alias("found"))
         t = vocabulary.terms.select(F.col("concept_id").alias("sct"), "norms", "preferred")
@@ -44,7 +46,7 @@ def enrich(records: DataFrame, sources: DataFrame | None, vocabulary: Vocabulary
         rows = rows.join(both[0], "code_key", "left").join(both[1], "code_key", "left").drop("code_key")
         rows = rows.withColumns({
             "present": F.coalesce("found", F.lit(False)), "status": finding_status(F.col("found"), F.col("active"), F.col("is_finding"), F.col("is_finding_hist")),
-            "exact": lexical_match(F.col("norms"), F.col("text")), "contained": lexical_match(F.col("norms"), F.col("text"), "contained"),
+            "exact": lexical_match(F.col("norms"), F.col("text")), **({"contained": lexical_match(F.col("norms"), F.col("text"), "contained")} if contained else {}),
         }).drop("found", "norms", "is_finding", "is_finding_hist")
     if meddra is None:
         return rows.withColumns({"meddra_present": F.lit(None).cast("boolean"), "meddra_term": F.lit(None).cast("string")})

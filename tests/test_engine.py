@@ -512,3 +512,13 @@ def test_enriched_records_shuffle_their_texts_once(spark, plans):
     from sieveworks.plans import bindings
 
     assert plans[1](bindings.enriched(spark, "/root/testdata/sf0.001").select("doc_id", "cue")).count("documents.parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["probe_c7", "r1_audit_records", "r1_by_entity", "r1_records", "r1_verdict"])
+def test_verdicts_leave_out_what_they_do_not_need(spark, monkeypatch, name):
+    """Unused columns would be dropped later, but the driver would have analysed them first, once for each column added."""
+    made, match = [], stages.lexical_match
+    monkeypatch.setattr(stages.N, "negation_cue", lambda *a: made.append("cue") or F.lit(None).cast("string"))
+    monkeypatch.setattr(stages, "lexical_match", lambda norms, text, mode="exact": made.append(mode) or match(norms, text, mode))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert made == ["exact"]
